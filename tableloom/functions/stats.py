@@ -149,15 +149,19 @@ def order_statistics(
         ready = {k: o for k, o in pending.items() if o.rows <= limit}
         if ready:
             keys = list(ready)
-            row = df.agg(
+            # a point a little above the rank, then the largest value not above it: exactly the value at the rank
+            near = df.agg(
                 *[
                     F.percentile(
                         ready[k].inside(q(k[0])),
-                        F.lit((k[1] - ready[k].below_rows) / max(ready[k].rows - 1, 1)),
+                        F.lit(min((k[1] - ready[k].below_rows + 0.25) / max(ready[k].rows - 1, 1), 1.0)),
                     ).alias(str(i))
                     for i, k in enumerate(keys)
                 ]
             ).first()
+            row = df.agg(
+                *[F.max(F.when(q(k[0]) <= near[str(i)], q(k[0]))).alias(str(i)) for i, k in enumerate(keys)]
+            ).first()
             for i, k in enumerate(keys):
                 solved[k] = float(row[str(i)])
                 del pending[k]
