@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("detection", "cleaning", "encoding", "numbers", "reduction", "runs")
+MODULES = ("detection", "cleaning", "encoding", "numbers", "reduction", "runs", "text", "learning")
 
 
 def all_checks() -> dict:

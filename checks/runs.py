@@ -117,7 +117,7 @@ def k7(spark, sf):
     found = runlog.run_details(runlog.run_states(events), parameters, metrics, models)
     return found.select(
         "run_id", "status", F.size("metrics").cast("bigint").alias("n_metrics"),
-        rounded(F.aggregate(F.map_values("metrics"), F.lit(0.0), lambda a, v: a + v), 2).alias("metric_sum"),
+        rounded(F.aggregate(F.map_values("metrics"), F.lit(0.0), lambda a, v: a + v), 3).alias("metric_sum"),
         F.col("parameters")["n"].alias("n"), F.col("model.version").alias("version"), F.col("model.path").alias("path"),
     )
 
@@ -125,7 +125,7 @@ def k7(spark, sf):
 K7_SQL = f"""
     SELECT r.run_id, status, n_metrics, metric_sum, p.n, model_version AS version, model_path AS path
     FROM ({RUNS_SQL}) r
-    JOIN (SELECT run_id, count(*) AS n_metrics, {near('sum(metric_value)', 2)} AS metric_sum
+    JOIN (SELECT run_id, count(*) AS n_metrics, {near('sum(metric_value)', 3)} AS metric_sum
           FROM ({METRICS_SQL}) GROUP BY 1) m ON r.run_id = m.run_id
     JOIN (SELECT 'u' || CAST(user_id AS VARCHAR) AS run_id, '{{"n":' || CAST(count(*) AS VARCHAR) || '}}' AS n
           FROM events GROUP BY user_id) p ON r.run_id = p.run_id

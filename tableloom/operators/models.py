@@ -503,11 +503,17 @@ def _metric(name: str, value: Column) -> Column:
 def _classification(df: DataFrame, label: str, prediction: str) -> DataFrame:
     cells = df.groupBy(q(label).alias("a"), q(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     same = F.col("a") == F.col("p")
+    none = F.lit(0).cast("bigint")
+
+    def record(name: Column, actual: Column, predicted: Column, hit: Column) -> Column:
+        return F.struct(
+            name.cast("string").alias("class"), actual.alias("actual"), predicted.alias("predicted"), hit.alias("hit")
+        )
+
     # one record for the true class and one for the predicted class of each cell
+    n = F.col("n")
     sides = cells.select(F.inline(F.array(
-        F.struct(F.col("a").cast("string").alias("class"), F.col("n").alias("actual"),
-                 F.lit(0).cast("bigint").alias("predicted"), F.when(same, F.col("n")).otherwise(0).alias("hit")),
-        F.struct(F.col("p").cast("string"), F.lit(0).cast("bigint"), F.col("n"), F.lit(0).cast("bigint")),
+        record(F.col("a"), n, none, F.when(same, n).otherwise(none)), record(F.col("p"), none, n, none)
     )))
     classes = sides.groupBy("class").agg(
         F.sum("actual").alias("actual"), F.sum("predicted").alias("predicted"), F.sum("hit").alias("hit")
