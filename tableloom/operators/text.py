@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tableloom.functions.expr import uuid5
 
-HEADER = r"^\s*(#{1,3})(?: (.*))?$"
-FENCE = r"^\s*(```[^`]*|~~~.*)$"
+HEADER = r"\A[ \t]*(#{1,3})(?: ([^\n]*))?(?=\n|\z)"
+# a fenced block as a whole, or the place before a header line
+FENCE_OR_HEADER = r"(?ms)(^[ \t]*```[^`\n]*$.*?(?:^[ \t]*```|\z)|^[ \t]*~~~.*?(?:^[ \t]*~~~|\z))|(?=^[ \t]*#{1,3}(?: |$))"
+CUT = "\ufdd0"
 LINE_ENDS = r"\r|[\x0b\x0c\x1c-\x1e\x85  ]"
 PATH_SEPARATOR = " > "
 
@@ -37,69 +39,45 @@ def sections(documents: DataFrame, content: str = "content") -> DataFrame:
     holds the headers it stands under. A header directly after a higher one
     joins its section. Fenced code is not searched for headers.
     """
-    lines = documents.withColumn("__lines", F.split(F.col(content), "\n", -1))
-    marked = lines.withColumn(
-        "__fences", F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: _line(i).rlike(FENCE))
-    ).withColumn(
-        "__heads",
-        F.transform(
-            F.filter(
-                F.sequence(F.lit(0), F.size("__lines") - 1),
-                lambda i: _line(i).rlike(HEADER)
-                & (F.size(F.filter("__fences", lambda f: f < i)) % 2 == 0),
-            ),
-            lambda i: F.struct(
-                i.alias("at"), F.length(F.regexp_extract(_line(i), HEADER, 1)).alias("level"),
-                F.trim(F.regexp_extract(_line(i), HEADER, 2)).alias("title"),
-            ),
-        ),
-    )
-    # a head opens a section unless only blank lines separate it from a higher head
-    opening = F.filter(
-        F.transform("__heads", lambda h, k: F.struct(h.alias("head"), k.alias("k"))),
-        lambda x: (x["k"] == 0) | ~_continues(F.get("__heads", x["k"] - 1), x["head"]),
-    )
-    starts = marked.withColumn("__open", opening).withColumn(
-        "__cuts",
-        F.concat(
-            F.when(F.coalesce(F.get("__open", F.lit(0))["head"]["at"], F.lit(1)) > 0, F.array(F.lit(0))).otherwise(
-                F.array().cast("array<int>")
-            ),
-            F.transform("__open", lambda x: x["head"]["at"]),
-        ),
+    pieces = F.split(F.regexp_replace(F.col(content), FENCE_OR_HEADER, "$1" + CUT), CUT)
+    empty = F.array().cast(
+        "array<struct<h1:string,h2:string,h3:string,text:string,bare:int>>"
     )
-    made = F.transform("__cuts", lambda at, n: _section(at, F.coalesce(F.get("__cuts", n + 1), F.size("__lines"))))
-    return starts.withColumn("sections", made).drop("__lines", "__fences", "__heads", "__open", "__cuts")
-
-
-def _line(i: Column) -> Column:
-    return F.get(F.col("__lines"), i)
-
-
-def _continues(before: Column, head: Column) -> Column:
-    gap = F.slice(F.col("__lines"), before["at"] + 2, head["at"] - before["at"] - 1)
-    return (before["level"] < head["level"]) & F.forall(gap, lambda x: F.trim(x) == "")
-
-
-def _section(at: Column, end: Column) -> Column:
-    """Lines ``at … end`` with the headers in force: per level the last one, unless a higher one came later."""
-    seen = F.filter("__heads", lambda h: h["at"] < end)
-
-    def last(level: int) -> Column:
-        return F.array_max(F.transform(F.filter(seen, lambda h: h["level"] <= level), lambda h: h["at"]))
-
-    titles = [
-        F.get(
-            F.transform(F.filter(seen, lambda h, n=level: (h["at"] == last(n)) & (h["level"] == n)), lambda h: h["title"]),
-            F.lit(0),
-        )
-        for level in (1, 2, 3)
+    found = F.aggregate(pieces, empty, _take_piece)
+    return documents.withColumn("sections", F.transform(found, lambda s: F.struct(
+        F.concat_ws(PATH_SEPARATOR, s["h1"], s["h2"], s["h3"]).alias("path"),
+        F.regexp_replace(s["text"], r"\A\s+|\s+\z", "").alias("text"),
+    )))
+
+
+def _take_piece(done: Column, piece: Column) -> Column:
+    """Fold step: a piece opens a section, or continues the last one."""
+    level = F.length(F.regexp_extract(piece, HEADER, 1))
+    title = F.trim(F.regexp_extract(piece, HEADER, 2))
+    last = F.get(done, F.size(done) - 1)
+    bare = F.when(F.instr(F.trim(F.regexp_replace(piece, r"\s+\z", "")), "\n") == 0, level).otherwise(F.lit(0))
+
+    def section(h1: Column, h2: Column, h3: Column, text: Column, only_header: Column) -> Column:
+        return F.array(F.struct(
+            h1.alias("h1"), h2.alias("h2"), h3.alias("h3"), text.alias("text"), only_header.cast("int").alias("bare")
+        ))
+
+    none = F.lit(None).cast("string")
+    headed = [
+        F.when(level == 1, title).otherwise(last["h1"]),
+        F.when(level == 2, title).when(level > 2, last["h2"]).otherwise(none),
+        F.when(level == 3, title).otherwise(none),
     ]
-    return F.struct(
-        F.concat_ws(PATH_SEPARATOR, *titles).alias("path"),
-        F.regexp_replace(
-            F.array_join(F.slice(F.col("__lines"), at + 1, end - at), "\n"), r"\A\s+|\s+\z", ""
-        ).alias("text"),
+    before = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    continued = section(last["h1"], last["h2"], last["h3"], F.concat(last["text"], piece),
+                        F.when(F.trim(F.translate(piece, "\n", "")) == "", last["bare"]).otherwise(F.lit(0)))
+    joined = section(*headed, F.concat(last["text"], piece), bare)
+    return (
+        F.when((F.size(done) == 0) & (F.trim(F.translate(piece, "\n", "")) == ""), done)
+        .when((level == 0) & (F.size(done) == 0), section(none, none, none, piece, F.lit(0)))
+        .when(level == 0, F.concat(before, continued))
+        .when((last["bare"] > 0) & (last["bare"] < level), F.concat(before, joined))
+        .otherwise(F.concat(done, section(*headed, piece, bare)))
     )
 
 
@@ -107,18 +85,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def size_parts(text: Column, chunk_size: int, chunk_overlap: int) -> Column:
-    """Array of parts: the text itself if short enough, else windows of words with overlap."""
-    if not 0 <= chunk_overlap < chunk_size:
-        raise ValueError("chunk_overlap must be at least 0 and below chunk_size")
-    tokens = words(text)
+def size_parts(section: Column, chunk_size: int, chunk_overlap: int) -> Column:
+    """Parts of a section with its words: the text itself if short enough, else windows of words with overlap."""
+    tokens = section["words"]
     step = chunk_size - chunk_overlap
     last = F.greatest(F.size(tokens) - chunk_overlap - 1, F.lit(0))
     windows = F.transform(
         F.sequence(F.lit(0), last, F.lit(step)),
         lambda s: F.array_join(F.slice(tokens, s + 1, chunk_size), " "),
     )
-    return F.when(F.size(tokens) > chunk_size, windows).otherwise(F.array(text))
+    return F.when(F.size(tokens) > chunk_size, windows).otherwise(F.array(section["text"]))
 
 
 def chunk(
@@ -126,11 +102,16 @@ def chunk(
     name: str = "name", content: str = "content", source: str = "source",
 ) -> DataFrame:
     """``(chunk_id, document_id, document_name, content, source, point_id)``, numbered over the whole document."""
+    if not 0 <= chunk_overlap < chunk_size:
+        raise ValueError("chunk_overlap must be at least 0 and below chunk_size")
+    counted = F.transform(
+        "sections", lambda s: F.struct(s["path"].alias("path"), s["text"].alias("text"), words(s["text"]).alias("words"))
+    )
     parts = F.flatten(
         F.transform(
-            "sections",
+            counted,
             lambda s: F.transform(
-                F.filter(size_parts(s["text"], chunk_size, chunk_overlap), lambda p: F.trim(p) != ""),
+                F.filter(size_parts(s, chunk_size, chunk_overlap), lambda p: F.trim(p) != ""),
                 lambda p: F.when(s["path"] != "", F.concat(s["path"], F.lit("\n"), p)).otherwise(p),
             ),
         )
