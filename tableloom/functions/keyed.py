@@ -14,6 +14,7 @@ LITERAL_KEYS = 64
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 1 / 128
 SALTS = 256
+RANK_BLOCK = 65536
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last: bool = False) -> DataFrame:
@@ -113,3 +114,21 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank: str) -> DataFrame:
         .withColumn(rank, F.col("__start") + F.col("__inside"))
         .drop(part, "__from", "__start", "__inside")
     )
+
+
+def rows_before(counts: DataFrame, order: Sequence[Column], n: str, to: str) -> DataFrame:
+    """For a table of distinct values with counts: how many rows come before each value in order."""
+    block = free_name(counts, "block")
+    placed = global_rank(counts, order, "__at")
+    placed = placed.withColumn(block, F.floor(F.col("__at") / RANK_BLOCK))
+    sizes = placed.groupBy(block).agg(F.sum(n).alias("__rows"))
+    # one row per RANK_BLOCK distinct values
+    earlier = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(block, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(block).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.withColumn("__inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+        .join(starts, block)
+        .withColumn(to, F.col("__start") + F.col("__inside"))
+        .drop(block, "__start", "__inside", "__at")
+    )

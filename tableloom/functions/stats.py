@@ -1,12 +1,13 @@
 """Column statistics in single passes, and exact quantiles that scale.
 
-``percentile`` keeps every distinct value of a column in one buffer. Below
-``EXACT_ROWS`` values that is bounded and one pass is enough. Above it the
-wanted order statistics are found by narrowing: a quantile sketch proposes two
-values around each rank, exact counts tell on which side (or on which value) the
-rank lies, and only what lies strictly between them is looked at again. Every
-round is a plain aggregation without moving rows, and shrinks the open interval
-by about the sketch accuracy.
+``percentile`` keeps every distinct value of a column in one buffer, which is slow
+for many values and unbounded for large tables. It is used only where a buffer
+stays small. Otherwise the wanted order statistics are found by narrowing: one
+pass counts rows per equal-width bin (with the least and greatest value of each
+bin), the bin that holds the wanted rank is known exactly, and the next pass looks
+only inside it. Data too uneven for equal bins is narrowed by a quantile sketch
+whose proposals are checked by exact counts. No rows are moved in any pass. Long
+lists of ranks are read off the counts of distinct values instead.
 """
 
 from __future__ import annotations
@@ -18,8 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.functions.columns import number, present, q
+from tableloom.functions.keyed import rows_before
 
 EXACT_ROWS = 1_000_000
+BUFFER_ROWS = 20_000
+BINS = 1024
+BIN_ROWS = 200_000
+MANY_RANKS = 64
 COLUMNS_PER_JOB = 200
 SKETCH_ACCURACY = 10_000
 
@@ -74,13 +80,17 @@ def quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     counts: Mapping[str, int] | None = None,
-    limit: int = EXACT_ROWS,
+    limit: int | None = None,
 ) -> dict[str, list[float] | None]:
     """Exact linearly interpolated quantiles per column; ``None`` where there are no values."""
     if not columns:
         return {}
+    ends = None
     if counts is None:
-        counts = {c: s["count"] for c, s in numeric_stats(df, columns, ["count"]).items()}
+        ends = numeric_stats(df, columns, ["count", "min", "max"])
+        counts = {c: s["count"] for c, s in ends.items()}
+    if limit is None:
+        limit = EXACT_ROWS if len(probs) > MANY_RANKS // 2 else BUFFER_ROWS
     result: dict[str, list[float] | None] = {c: None for c in columns}
     small = [c for c in columns if 0 < counts[c] <= limit]
     for start in range(0, len(small), COLUMNS_PER_JOB):
@@ -101,7 +111,7 @@ def quantiles(
             for c in large
         }
         values = order_statistics(
-            df.select(*[number(df, c).alias(c) for c in large]), ranks, counts, limit
+            df.select(*[number(df, c).alias(c) for c in large]), ranks, counts, limit, ends
         )
         for c in large:
             result[c] = [
@@ -116,106 +126,194 @@ def _between(low: float, high: float, share: float) -> float:
 
 
 class _Open:
-    """Interval, exclusive on both ends, that still holds a wanted rank."""
+    """Interval that still holds a wanted rank: bounds as ``(value, belongs to it)``."""
 
-    __slots__ = ("above", "below_rows", "rows", "under")
+    __slots__ = ("above", "below_rows", "even", "rows", "under")
 
     def __init__(self, rows: int):
-        self.above: float | None = None
-        self.under: float | None = None
+        self.above: tuple[float, bool] | None = None
+        self.under: tuple[float, bool] | None = None
         self.below_rows = 0
         self.rows = rows
+        self.even = True
 
     def inside(self, column: Column) -> Column:
         test = column.isNotNull()
         if self.above is not None:
-            test &= column > F.lit(self.above)
+            value, belongs = self.above
+            test &= column >= F.lit(value) if belongs else column > F.lit(value)
         if self.under is not None:
-            test &= column < F.lit(self.under)
+            value, belongs = self.under
+            test &= column <= F.lit(value) if belongs else column < F.lit(value)
         return F.when(test, column)
 
+    def bounds(self) -> tuple:
+        return self.above, self.under
+
 
 def order_statistics(
     df: DataFrame,
     ranks: Mapping[str, Sequence[int]],
     counts: Mapping[str, int],
-    limit: int = EXACT_ROWS,
+    limit: int = BUFFER_ROWS,
+    ends: Mapping[str, Mapping[str, float]] | None = None,
 ) -> dict[tuple[str, int], float]:
     """Values at zero-based ranks among the non-null values of double columns."""
     solved: dict[tuple[str, int], float] = {}
-    pending = {(c, r): _Open(counts[c]) for c, wanted in ranks.items() for r in wanted}
-    margin = 2.0 / SKETCH_ACCURACY
+    for c, wanted in ranks.items():
+        if len(wanted) > MANY_RANKS:
+            solved.update(_from_value_counts(df, c, wanted, counts[c]))
+    pending = {
+        (c, r): _Open(counts[c]) for c, wanted in ranks.items() if len(wanted) <= MANY_RANKS for r in wanted
+    }
+    if pending:
+        names = list({c for c, _ in pending})
+        ends = ends or numeric_stats(df, names, ["min", "max"])
+        for (c, _), state in pending.items():
+            state.above, state.under = (ends[c]["min"], True), (ends[c]["max"], True)
     while pending:
-        ready = {k: o for k, o in pending.items() if o.rows <= limit}
+        for key in [k for k, o in pending.items() if o.above == o.under]:
+            solved[key] = float(pending.pop(key).above[0])
+        ready = [k for k, o in pending.items() if o.rows <= limit]
         if ready:
-            keys = list(ready)
-            # a point a little above the rank, then the largest value not above it: exactly the value at the rank
-            near = df.agg(
-                *[
-                    F.percentile(
-                        ready[k].inside(q(k[0])),
-                        F.lit(min((k[1] - ready[k].below_rows + 0.25) / max(ready[k].rows - 1, 1), 1.0)),
-                    ).alias(str(i))
-                    for i, k in enumerate(keys)
-                ]
-            ).first()
-            row = df.agg(
-                *[F.max(F.when(q(k[0]) <= near[str(i)], q(k[0]))).alias(str(i)) for i, k in enumerate(keys)]
-            ).first()
-            for i, k in enumerate(keys):
-                solved[k] = float(row[str(i)])
-                del pending[k]
+            _finish(df, ready, pending, solved)
             continue
+        even = [k for k, o in pending.items() if o.even]
+        if even:
+            _narrow_by_bins(df, even, pending)
+        elif pending:
+            _narrow_by_sketch(df, pending, solved)
+    return solved
 
-        keys = list(pending)
-        guesses = df.agg(
-            *[
-                F.percentile_approx(
-                    pending[k].inside(q(k[0])),
-                    [max(share - margin, 0.0), min(share + margin, 1.0)],
-                    SKETCH_ACCURACY,
-                ).alias(str(i))
-                for i, k in enumerate(keys)
-                for share in [(k[1] - pending[k].below_rows + 0.5) / pending[k].rows]
-            ]
-        ).first()
-        checks = df.agg(
-            *[
-                F.count_if(test).alias(f"{i}:{name}")
-                for i, k in enumerate(keys)
-                for low, high in [guesses[str(i)]]
-                for name, test in (
-                    ("lt_low", q(k[0]) < low),
-                    ("le_low", q(k[0]) <= low),
-                    ("lt_high", q(k[0]) < high),
-                    ("le_high", q(k[0]) <= high),
-                )
-            ]
-        ).first()
-        for i, k in enumerate(keys):
-            _narrow(
-                k, pending, solved, guesses[str(i)],
-                [checks[f"{i}:{n}"] for n in ("lt_low", "le_low", "lt_high", "le_high")],
+
+def _finish(df: DataFrame, ready: list, pending: dict, solved: dict) -> None:
+    """A point a little above the rank, then the largest value not above it: exactly the value at the rank."""
+    near = df.agg(
+        *[
+            F.percentile(
+                pending[k].inside(q(k[0])),
+                F.lit(min((k[1] - pending[k].below_rows + 0.25) / max(pending[k].rows - 1, 1), 1.0)),
+            ).alias(str(i))
+            for i, k in enumerate(ready)
+        ]
+    ).first()
+    row = df.agg(
+        *[F.max(F.when(q(k[0]) <= near[str(i)], q(k[0]))).alias(str(i)) for i, k in enumerate(ready)]
+    ).first()
+    for i, k in enumerate(ready):
+        solved[k] = float(row[str(i)])
+        del pending[k]
+
+
+def _narrow_by_bins(df: DataFrame, keys: list, pending: dict) -> None:
+    """One pass for all open intervals; ranks that share an interval share its bins."""
+    intervals = list({(k[0], pending[k].bounds()): pending[k] for k in keys}.items())
+    bins = max(16, min(BINS, BIN_ROWS // len(intervals)))
+    cells = []
+    for i, ((c, _), state) in enumerate(intervals):
+        low, high = state.above[0], state.under[0]
+        x = state.inside(q(c))
+        # halves first, so that the width of extreme intervals stays finite
+        width = high / 2 - low / 2
+        place = F.floor((x / 2 - low / 2) / F.lit(width) * bins)
+        cells.append(F.struct(
+            F.lit(i).alias("interval"), F.greatest(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin"),
+            x.alias("x"),
+        ))
+    rows = (
+        df.select(F.inline(F.array(*cells))).filter(F.col("x").isNotNull())
+        .groupBy("interval", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        .collect()
+    )
+    table: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["interval"], r["bin"])):
+        table.setdefault(r["interval"], []).append(r)
+    number_of = {key: i for i, (key, _) in enumerate(intervals)}
+    for k in keys:
+        state = pending[k]
+        before = state.below_rows
+        for r in table[number_of[k[0], state.bounds()]]:
+            if k[1] < before + r["n"]:
+                state_new = _Open(r["n"])
+                state_new.above, state_new.under, state_new.below_rows = (r["lo"], True), (r["hi"], True), before
+                state_new.even = r["n"] * 4 <= state.rows
+                pending[k] = state_new
+                break
+            before += r["n"]
+
+
+def _narrow_by_sketch(df: DataFrame, pending: dict, solved: dict) -> None:
+    margin = 2.0 / SKETCH_ACCURACY
+    keys = list(pending)
+    guesses = df.agg(
+        *[
+            F.percentile_approx(
+                pending[k].inside(q(k[0])),
+                [max(share - margin, 0.0), min(share + margin, 1.0)],
+                SKETCH_ACCURACY,
+            ).alias(str(i))
+            for i, k in enumerate(keys)
+            for share in [(k[1] - pending[k].below_rows + 0.5) / pending[k].rows]
+        ]
+    ).first()
+    checks = df.agg(
+        *[
+            F.count_if(test).alias(f"{i}:{name}")
+            for i, k in enumerate(keys)
+            for low, high in [guesses[str(i)]]
+            for name, test in (
+                ("lt_low", q(k[0]) < low),
+                ("le_low", q(k[0]) <= low),
+                ("lt_high", q(k[0]) < high),
+                ("le_high", q(k[0]) <= high),
             )
-    return solved
+        ]
+    ).first()
+    for i, k in enumerate(keys):
+        _place(
+            k, pending, solved, guesses[str(i)],
+            [checks[f"{i}:{n}"] for n in ("lt_low", "le_low", "lt_high", "le_high")],
+        )
 
 
-def _narrow(key, pending, solved, guess, counted) -> None:
+def _place(key, pending, solved, guess, counted) -> None:
     rank, state = key[1], pending[key]
     (low, high), (lt_low, le_low, lt_high, le_high) = guess, counted
     end = state.below_rows + state.rows
     if rank < lt_low:
-        state.under, state.rows = low, lt_low - state.below_rows
+        state.under, state.rows = (low, False), lt_low - state.below_rows
     elif rank < le_low:
         solved[key] = float(low)
         del pending[key]
     elif rank < lt_high:
-        state.above, state.under, state.below_rows, state.rows = low, high, le_low, lt_high - le_low
+        state.above, state.under = (low, False), (high, False)
+        state.below_rows, state.rows = le_low, lt_high - le_low
     elif rank < le_high:
         solved[key] = float(high)
         del pending[key]
     else:
-        state.above, state.below_rows, state.rows = high, le_high, end - le_high
+        state.above, state.below_rows, state.rows = (high, False), le_high, end - le_high
+
+
+def _from_value_counts(df: DataFrame, column: str, ranks: Sequence[int], rows: int) -> dict[tuple[str, int], float]:
+    """Many ranks at once: distinct values with the rows before them, matched to the ranks by stretches of rank."""
+    counts = df.select(q(column).alias("x")).filter(F.col("x").isNotNull()).groupBy("x").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    placed = rows_before(counts, [F.col("x")], "n", "start")
+    stretch = max(1, rows // 4096)
+    spans = placed.withColumn(
+        "stretch",
+        F.explode(F.sequence(
+            F.floor(F.col("start") / stretch), F.floor((F.col("start") + F.col("n") - 1) / stretch)
+        )),
+    )
+    wanted = df.sparkSession.createDataFrame([(int(r), int(r) // stretch) for r in ranks], "r bigint, stretch bigint")
+    # the ranks are a short list
+    hits = spans.join(F.broadcast(wanted), "stretch").filter(
+        (F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + F.col("n"))
+    )
+    return {(column, row["r"]): float(row["x"]) for row in hits.select("r", "x").collect()}
 
 
 def value_counts(

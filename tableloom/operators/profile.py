@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableloom.functions.columns import choose_columns, family_columns, number, present, q
-from tableloom.functions.keyed import global_rank
+from tableloom.functions.keyed import global_rank, rows_before
 from tableloom.functions.stats import numeric_stats, quantiles
 from tableloom.operators import detect
 from tableloom.operators.reduce import PCAReducer
@@ -61,24 +61,9 @@ def _pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def mid_ranks(counts: DataFrame, value: str, n: str, rank: str) -> DataFrame:
-    """Average rank of every distinct value from its count, by range partitions instead of one global window."""
-    ranked = global_rank(counts, [q(value)], "__position")
-    part = materialise(ranked.withColumn("__block", F.floor(F.col("__position") / 65536)))
-    blocks = part.groupBy("__block").agg(F.sum(n).alias("__rows"))
-    # one row per 65536 distinct values
-    before_blocks = F.sum("__rows").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = blocks.select("__block", F.coalesce(before_blocks, F.lit(0)).alias("__start"))
-    inside = F.coalesce(
-        F.sum(n).over(
-            Window.partitionBy("__block").orderBy("__position").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    return (
-        part.withColumn("__inside", inside).join(starts, "__block")
-        .withColumn(rank, F.col("__start") + F.col("__inside") + (q(n) + 1) / 2.0)
-        .drop("__block", "__start", "__inside", "__position")
-    )
+    """Average rank of every distinct value from its count."""
+    placed = rows_before(counts, [q(value)], n, "__before")
+    return placed.withColumn(rank, F.col("__before") + (q(n) + 1) / 2.0).drop("__before")
 
 
 def _spearman(df: DataFrame, a: str, b: str) -> DataFrame:

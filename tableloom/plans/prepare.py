@@ -6,13 +6,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.sql import DataFrame
 
 from tableloom.functions.columns import detect_target
 from tableloom.operators import clean, encode, features, reduce, scale, select, transform
 from tableloom.operators.balance import ClassBalancer
 from tableloom.plans.config import PrepareConfig
+from tableloom.session import materialise
 
 COMPONENTS: dict[str, Callable[..., Any]] = {
     "drop_duplicates": clean.DuplicateDropper,
@@ -116,12 +117,35 @@ def preparation_stages(
     return stages
 
 
+class Preparation(Pipeline):
+    """A ``Pipeline`` that writes the table down after a stage that shuffles rows while fitting.
+
+    Each later stage learns from the output of the ones before; without this every
+    one of them would repeat the shuffle.
+    """
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        fitted = []
+        stages = self.getStages()
+        for i, stage in enumerate(stages):
+            model = stage if isinstance(stage, Transformer) else stage.fit(dataset)
+            fitted.append(model)
+            if i + 1 < len(stages):
+                dataset = model.transform(dataset)
+                if isinstance(model, SHUFFLING) and any(isinstance(s, Estimator) for s in stages[i + 1 :]):
+                    dataset = materialise(dataset)
+        return PipelineModel(fitted)
+
+
+SHUFFLING = (clean.DuplicateDropperModel,)
+
+
 def build(
     config: PrepareConfig, target: str | None = None, keep: Sequence[str] = (), key: str | None = None,
     extra: Sequence[Any] = (),
 ) -> Pipeline:
     """``extra`` stages of your own run last."""
-    return Pipeline(stages=[stage for _, stage in preparation_stages(config, target, keep, key)] + list(extra))
+    return Preparation(stages=[stage for _, stage in preparation_stages(config, target, keep, key)] + list(extra))
 
 
 @dataclass
