@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.data import COPIED, GAPS, SPIKES, Source, near, rounded, rounded_columns, table
+from checks.data import COPIED, GAPS, SPIKES, Source, near, rounded_columns
 from tableloom.operators import clean
 
 NEIGHBOURS = Source(
@@ -204,5 +204,3 @@ CHECKS = {
         "WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)",
     ),
 }
-
-__all__ = ["CHECKS", "rounded", "table"]

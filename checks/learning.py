@@ -8,8 +8,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.data import GAPS, UNEVEN, Source, near, rounded, rounded_columns, table
-from tableloom.functions.columns import q
+from checks.data import UNEVEN, Source, near, rounded, rounded_columns, table
 from tableloom.operators import models
 from tableloom.operators.balance import ClassBalancer
 from tableloom.plans import search
@@ -492,5 +491,3 @@ CHECKS = {
     "m18_random_search": (m18, None),
     "m18_suggested_parameters": (m18_suggest, M18_SQL),
 }
-
-__all__ = ["CHECKS", "GAPS", "q"]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from checks.data import GAPS, SPIKES, Source, near, rounded, rounded_columns, table
 from checks.detection import GAP_COLUMNS
-from tableloom.functions.columns import number
 from tableloom.operators import profile
 from tableloom.operators.encode import category_codes
 from tableloom.operators.reduce import LDAReducer, PCAReducer
@@ -352,5 +351,3 @@ CHECKS = {
     "v8_top_importances": (v8, None),
     "v9_data_summary": (v9, v9_sql()),
 }
-
-__all__ = ["CHECKS", "number"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import Column
@@ -77,5 +76,3 @@ def dot(left: Column, right: Column) -> Column:
     )
 
 
-def natural_log(base: float) -> float:
-    return math.log(base)

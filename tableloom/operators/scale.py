@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.functions.columns import number, q
+from tableloom.functions.columns import number
 from tableloom.functions.expr import box_cox, box_cox_inverse, yeo_johnson, yeo_johnson_inverse
 from tableloom.functions.stats import numeric_stats, quantiles
 from tableloom.operators.base import FittedStep, Step
@@ -163,10 +163,10 @@ def _from_normal(values: list[float], grid: list[float]):
         cdf = NormalDist().cdf
         ok = ~np.isnan(v)
         out = np.full(len(v), np.nan)
-        out[ok] = np.interp([cdf(x) for x in v[ok]], grid, values)
+        p = np.array([cdf(x) for x in v[ok]])
+        # clipped tails stand for the least and greatest value
+        p = np.where(p < TAIL * 1.01, 0.0, np.where(p > 1 - TAIL * 1.01, 1.0, p))
+        out[ok] = np.interp(p, grid, values)
         return pd.Series(out).where(ok, None)
 
     return original
-
-
-__all__ = ["FeatureScaler", "FeatureScalerModel", "q"]
