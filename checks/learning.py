@@ -75,9 +75,9 @@ B3_SQL = f"""
 def b4(spark, sf):
     """The adaptive sizes are rounded per row: the result is near the majority size."""
     out = grown("adasyn")(spark, sf)
-    most = out.agg(F.max("originals").alias("most"))
-    return out.join(F.broadcast(most)).select(
-        "label", "originals", "in_box", (F.abs(F.col("n") - F.col("most")) < 0.1 * F.col("most")).alias("near_majority")
+    most = out.agg(F.max("originals")).first()[0]
+    return out.select(
+        "label", "originals", "in_box", (F.abs(F.col("n") - most) < 0.1 * most).alias("near_majority")
     )
 
 
@@ -402,9 +402,9 @@ def m16(spark, sf):
     )
     logged = log.table("metrics").select("metric_name", F.col("metric_value").alias("logged"))
     reported = spark.createDataFrame(list(found.metrics.items()), "metric_name string, reported double")
-    state = log.experiments().select("status").limit(1)
-    return logged.join(reported, "metric_name").join(F.broadcast(state)).select(
-        "metric_name", (F.col("logged") == F.col("reported")).alias("same"), "status"
+    return logged.join(reported, "metric_name").select(
+        "metric_name", (F.col("logged") == F.col("reported")).alias("same"),
+        F.lit(log.experiments().first()["status"]).alias("status"),
     )
 
 

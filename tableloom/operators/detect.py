@@ -9,9 +9,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableloom.functions.columns import choose_columns, family_columns, number, present, q
+from tableloom.functions.columns import choose_columns, number, present, q
 from tableloom.functions.moments import moments
 from tableloom.functions.stats import numeric_stats, quantiles, value_counts
+from tableloom.session import materialise
 
 # Settings of the standard report.
 MISSING_THRESHOLD = 0.05
@@ -284,16 +285,16 @@ def quality_markdown(context: DataFrame, operations: Sequence[str] = ()) -> Data
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """``(class, n, percent, ratio)``: percent of all rows including those without a class."""
     counts = df.groupBy(present(df, target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts)
     named = F.col("class").isNotNull()
     totals = counts.agg(
         F.sum("n").alias("rows"),
         F.max(F.when(named, F.col("n"))).alias("most"),
         F.min(F.when(named, F.col("n"))).alias("least"),
-    )
-    # one row of totals against the class table
-    return counts.filter(named).join(F.broadcast(totals)).select(
-        "class", "n", (F.col("n") * 100.0 / F.col("rows")).alias("percent"),
-        (F.col("most") / F.col("least")).alias("ratio"),
+    ).first()
+    return counts.filter(named).select(
+        "class", "n", (F.col("n") * 100.0 / F.lit(totals["rows"])).alias("percent"),
+        (F.lit(totals["most"]) / F.lit(totals["least"])).cast("double").alias("ratio"),
     )
 
 
@@ -316,7 +317,3 @@ def rebalancing_advice(df: DataFrame, target: str) -> DataFrame:
         ]
     )
     return ratio.select("ratio", F.inline(advice))
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return family_columns(df, "numeric")
