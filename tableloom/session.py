@@ -53,6 +53,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and cuts the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the table to the shared folder and read it back.
+
+    Survives lost executors and cuts the lineage, and the size of what was
+    written is known, so later joins broadcast it only when it is small.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
