@@ -24,7 +24,7 @@ def normalised(text: Column) -> Column:
     text = F.regexp_replace(text, "\r\n", "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     text = F.regexp_replace(text, LINE_ENDS, "\n")
-    text = F.regexp_replace(text, r"(?U)[\s\x1f&&[^\n]]+(?=\n|\z)", "")
+    text = F.regexp_replace(text, r"(?U)[\s\x1f&&[^\n]]++(?=\n|\z)", "")
     return F.regexp_replace(text, r"(?U)\A[\s\x1f]+|[\s\x1f]+\z", "")
 
 
