@@ -38,3 +38,22 @@ class Cache(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def labelled_sample(
+    labels: DataFrame, key: str, label: str, limit: int, seed: int = 0, keep: Column | None = None
+) -> DataFrame:
+    """At most ``limit`` labelled ids of either class (``id``, ``y``), those with the smallest hashes of their id.
+
+    Rows whose label is neither 0 nor 1 are left out; an id with both labels counts as 1. ``keep`` restricts the ids.
+    """
+    rows = labels if keep is None else labels.filter(keep)
+    known = (
+        rows.select(named(key).alias("id"), named(label).cast("int").alias("y"))
+        .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1))
+        .groupBy("id")
+        .agg(F.max("y").alias("y"))
+    )
+    order = F.xxhash64(F.lit(seed), "id")
+    halves = [known.filter(F.col("y") == y).orderBy(order, "id").limit(limit) for y in (0, 1)]
+    return halves[0].unionByName(halves[1])

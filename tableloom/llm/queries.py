@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import bpe, nearest
-from tableloom.llm.common import table
+from tableloom.llm import bpe, nearest, quality, toxicity, urls
+from tableloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,44 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, table(spark, sf_dir, "labels"))
+
+
+URL_RULES = (
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+)
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+REJECT_FROM = 0.7
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All rows with their score; labels whose id's remainder by 3 is 1 are held out."""
+    model = toxicity.train(docs, labels, usable=id_remainder(F.col("doc_id"), 3) != 1)
+    return toxicity.score(docs, model)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id",
+        F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= REJECT_FROM).cast("int").alias("predicted"),
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -36,6 +74,9 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_quality": op3_quality,
+    "op4_urls": op4_urls,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op10_nearest": op10_nearest,
 }
