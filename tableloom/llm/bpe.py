@@ -25,12 +25,14 @@ from tableloom.llm.common import Cache, named
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: White space as the tokenizer's normaliser sees it.
 SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: The pieces of a printable ASCII word in lower case; the same rules as in the tokenizer file.
+PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class BytePairs:
     """Encoder and decoder for one tokenizer file, given as its text."""
 
-    def __init__(self, definition: str, cached: int = 400_000):
+    def __init__(self, definition: str, cached: int = 200_000):
         from tokenizers import Tokenizer
 
         parsed = json.loads(definition)
@@ -43,6 +45,7 @@ class BytePairs:
         tool = Tokenizer.from_str(definition)
         self.normalize = tool.normalizer.normalize_str
         self.pieces = tool.pre_tokenizer.pre_tokenize_str
+        self.plain_pieces = PLAIN_PIECES.findall
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, reverse=True))) + ")")
         self.tokens = [""] * (1 + max([*self.vocabulary.values(), *self.special.values()]))
@@ -58,9 +61,9 @@ class BytePairs:
 
     def cut(self, piece: str) -> list[str]:
         """The piece's fragments; the last one carries the end-of-word mark."""
-        found, start = [], 0
-        for i in range(1, len(piece)):
-            if piece[i - 1 : i + 1] not in self.inside:
+        found, start, inside = [], 0, self.inside
+        for i, pair in enumerate(map(str.__add__, piece, piece[1:]), 1):
+            if pair not in inside:
                 found.append(piece[start:i])
                 start = i
         found.append(piece[start:] + self.suffix)
@@ -90,9 +93,11 @@ class BytePairs:
 
     def encode_word(self, word: str) -> bytes:
         fragments = self.fragments
-        return b"".join(
-            fragments[part] for piece, _ in self.pieces(self.normalize(word)) for part in self.cut(piece)
-        )
+        if word.isascii() and word.isprintable():  # its byte symbols are the characters themselves
+            pieces = self.plain_pieces(word.lower())
+        else:
+            pieces = [piece for piece, _ in self.pieces(self.normalize(word))]
+        return b"".join([fragments[part] for piece in pieces for part in self.cut(piece)])
 
     def encode_plain(self, text: str) -> bytes:
         parts = SPACES.split(text) if SEPARATORS.search(text) else text.split()
