@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import bpe, nearest, quality, toxicity, urls
+from tableloom.llm import bpe, html, lines, mixing, nearest, quality, toxicity, urls
 from tableloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,12 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    cleaned = lines.drop_boilerplate(docs, F.col("source"), dropped="n_dropped")
+    return cleaned.select("doc_id", "text", "n_dropped")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, table(spark, sf_dir, "labels"))
@@ -46,6 +52,11 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 REJECT_FROM = 0.7
 
 
@@ -69,19 +80,46 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixing.shares(made).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lines": op1_lines,
     "op3_quality": op3_quality,
     "op4_urls": op4_urls,
+    "op5_html": op5_html,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
+    "op8_mixing": op8_mixing,
     "op10_nearest": op10_nearest,
 }
 
 SQL: dict[str, str] = {
+    "op1_lines": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+        l AS (SELECT r, source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM d),
+        t AS (SELECT source, count(*) AS site_pages FROM d GROUP BY source),
+        b AS (
+            SELECT l.source, line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
+            WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')
+            GROUP BY l.source, line, site_pages HAVING count(*) > 0.1 * site_pages AND count(*) >= 5
+        ),
+        g AS (SELECT source, list(line) AS drop_lines FROM b GROUP BY source),
+        k AS (
+            SELECT doc_id, text, string_split(text, chr(10)) AS parts,
+                list_filter(parts, lambda x: NOT list_contains(coalesce(drop_lines, []), x)) AS kept
+            FROM d LEFT JOIN g ON d.source IS NOT DISTINCT FROM g.source
+        )
+        SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text,
+            coalesce(len(parts) - len(kept), 0) AS n_dropped
+        FROM k
+    """,
     "op10_nearest": """
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
         p AS (
