@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import bpe, html, lines, mixing, nearest, quality, toxicity, urls
+from tableloom.llm import bpe, html, language, lines, mixing, nearest, quality, toxicity, urls
 from tableloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(made).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language.score(docs, id_remainder(F.col("doc_id"), 7) != 2)
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
+    "op9_language": op9_language,
     "op10_nearest": op10_nearest,
 }
 
