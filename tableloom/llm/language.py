@@ -284,7 +284,7 @@ def score(
                 words = tokens(value)
                 codes = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
                 common_at = codes >= 0
-                word = np.where(common_at, class_of[codes], -1 - codes) if len(log_of) else -1 - codes
+                word = np.where(common_at, class_of[np.maximum(codes, 0)], -1 - codes) if len(log_of) else -1 - codes
                 before = contexts(word, [len(words)], classes.size)
                 hidden = m.r[before[:, 0]] * m.c[0] + m.r[before[:, 1]] * m.c[1]
                 raw = np.einsum("ij,ij->i", hidden, m.q[word]) + m.b[word] - normal[before[:, 0], before[:, 1]]
