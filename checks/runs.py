@@ -107,9 +107,13 @@ def k5(spark, sf):
     return runlog.best_model(models, "ridge")
 
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
 def k6(spark, sf):
     _, _, metrics, models = log_frames(spark, sf)
-    return runlog.compare(metrics)
+    chosen = [r["run_id"] for r in metrics.select("run_id").distinct().orderBy("run_id").collect()]
+    return runlog.compare(metrics, chosen, EVENT_TYPES)
 
 
 def k7(spark, sf):
@@ -148,6 +152,10 @@ CHECKS = {
         f"SELECT run_id, model_version AS version, model_path AS path FROM ({MODELS_SQL}) "
         "WHERE model_type = 'ridge' AND is_best ORDER BY created_at DESC, run_id DESC LIMIT 1",
     ),
-    "k6_compare_runs": (k6, f"PIVOT ({METRICS_SQL}) ON metric_name USING any_value(metric_value) GROUP BY run_id"),
+    "k6_compare_runs": (
+        k6,
+        "SELECT run_id, " + ", ".join(f"max(CASE WHEN metric_name = '{e}' THEN metric_value END) AS {e}" for e in EVENT_TYPES)
+        + f" FROM ({METRICS_SQL}) GROUP BY run_id",
+    ),
     "k7_run_details": (k7, K7_SQL),
 }

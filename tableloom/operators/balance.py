@@ -39,7 +39,7 @@ class ClassBalancer(Configured):
 
     OPTIONS: ClassVar = {
         "method": "smote", "target": None, "key": None, "columns": None, "sampling_strategy": "auto",
-        "seed": 42, "k_neighbors": 5,
+        "seed": 42, "k_neighbors": 5, "max_classes": MAX_CLASSES,
     }
 
     def _check(self) -> None:
@@ -61,10 +61,10 @@ class ClassBalancer(Configured):
         counts = {
             r[label]: r["n"]
             for r in keyed.filter(q(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-            .limit(MAX_CLASSES + 1).collect()
+            .limit(self.opt("max_classes") + 1).collect()
         }
-        if len(counts) > MAX_CLASSES:
-            raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+        if len(counts) > self.opt("max_classes"):
+            raise ValueError(f"{target} has more than {self.opt('max_classes')} classes (max_classes)")
         work = _Work(self, df, keyed, row, label, key, target, counts)
         try:
             done = work.run(self.opt("method"))

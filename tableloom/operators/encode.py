@@ -67,7 +67,7 @@ class CategoricalEncoder(Step):
             ).collect()
         }
         limit = self.opt("max_categories")
-        many = [c for c in names if sizes.get(c) and sizes[c]["distinct"] > limit]
+        many = [c for c in names if limit is not None and sizes.get(c) and sizes[c]["distinct"] > limit]
         for c in many:
             warnings.warn(
                 f"column {c} has {sizes[c]['distinct']} categories (> {limit}): frequency-encoded",

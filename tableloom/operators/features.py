@@ -95,18 +95,15 @@ class InteractionModel(FittedStep):
 
 
 class RatioFeatures(Step):
-    """Both quotients of every column pair."""
+    """Both quotients of every column pair; more pairs than ``max_pairs``, where given, are an error."""
 
-    OPTIONS: ClassVar = {"columns": None, "epsilon": 1e-6, "max_pairs": 100, "target": None, "keep": None}
+    OPTIONS: ClassVar = {"columns": None, "epsilon": 1e-6, "max_pairs": None, "target": None, "keep": None}
 
     def _fit(self, df: DataFrame) -> RatioModel:
         pairs = [list(p) for p in combinations(self.pick(df, "numeric"), 2)]
-        if len(pairs) > self.opt("max_pairs"):
-            warnings.warn(
-                f"{len(pairs)} column pairs: only the first {self.opt('max_pairs')} are used",
-                RuntimeWarning, stacklevel=2,
-            )
-            pairs = pairs[: self.opt("max_pairs")]
+        most = self.opt("max_pairs")
+        if most is not None and len(pairs) > most:
+            raise ValueError(f"{len(pairs)} column pairs exceed max_pairs={most}")
         return RatioModel(self.options(), {"pairs": pairs})
 
 

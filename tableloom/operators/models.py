@@ -52,7 +52,7 @@ def _choice(default, *choices, kind="str", category=""):
 _INTERCEPT = {"fit_intercept": _choice(True, True, False, kind="bool", category="model")}
 _ALPHA = {"alpha": _float(1.0, 0.001, 100.0, "regularization")}
 _TREE = {
-    "max_depth": _int(None, 1, 100, "tree"), "min_samples_split": _int(2, 2, 100, "tree"),
+    "max_depth": _int(None, 1, TREE_DEPTH_LIMIT, "tree"), "min_samples_split": _int(2, 2, 100, "tree"),
     "min_samples_leaf": _int(1, 1, 100, "tree"), "max_features": _choice("sqrt", "auto", "sqrt", "log2", None),
     "random_state": _int(42, category="reproducibility"),
 }
@@ -116,7 +116,10 @@ def checked_params(kind: str, task: str, params: Mapping[str, Any] | None) -> di
         if value is not None and "choices" not in rule:
             if rule["min"] is not None and value < rule["min"] or rule["max"] is not None and value > rule["max"]:
                 raise ValueError(f"{name}={value!r} is outside {rule['min']} … {rule['max']}")
-    return {**{name: rule["default"] for name, rule in schema.items()}, **given}
+    filled = {**{name: rule["default"] for name, rule in schema.items()}, **given}
+    if "max_depth" in filled and filled["max_depth"] is None:
+        filled["max_depth"] = TREE_DEPTH_LIMIT  # unlimited is as deep as Spark's trees go; that is what is logged
+    return filled
 
 
 # -- estimators ---------------------------------------------------------------------
@@ -160,7 +163,7 @@ def _tree_settings(p) -> dict[str, Any]:
     if p["min_samples_split"] != 2:
         raise ValueError("min_samples_split is not offered; use min_samples_leaf")
     return {
-        **_columns(), "maxDepth": min(p["max_depth"] or TREE_DEPTH_LIMIT, TREE_DEPTH_LIMIT),
+        **_columns(), "maxDepth": p["max_depth"],
         "minInstancesPerNode": p["min_samples_leaf"], "seed": p["random_state"],
     }
 

@@ -17,9 +17,6 @@ from tableloom.operators.reduce import PCAReducer
 from tableloom.operators.select import importances
 from tableloom.session import materialise
 
-HISTOGRAM_COLUMNS = 9
-BOX_COLUMNS = 15
-OUTLIER_COLUMNS = 3
 BINS = 30
 
 
@@ -155,7 +152,6 @@ def _running(cells: DataFrame, value: str) -> DataFrame:
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = BINS) -> DataFrame:
     """``(column, bin, lower, upper, n, mean, std)``; equal-width bins, the last one closed."""
     names = choose_columns(df, columns, "numeric")
-    names = names[:HISTOGRAM_COLUMNS] if columns is None else names
     stats = numeric_stats(df, names, ["count", "min", "max", "mean", "std"])
     names = [c for c in names if stats[c]["count"]]
     edges = {c: _edges(stats[c]["min"], stats[c]["max"]) for c in names}
@@ -186,7 +182,7 @@ def _edges(low: float, high: float) -> tuple[float, float]:
 
 def box_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, q1, median, q3, whisker_low, whisker_high, n)``; whiskers end at values within 1.5 IQR."""
-    names = choose_columns(df, columns, "numeric")[:BOX_COLUMNS]
+    names = choose_columns(df, columns, "numeric")
     quartiles = {c: v for c, v in quantiles(df, names, [0.25, 0.5, 0.75]).items() if v}
     aggregates, records = [], []
     for i, (c, (q1, median, q3)) in enumerate(quartiles.items()):
@@ -202,7 +198,7 @@ def box_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 def outlier_points(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """``(key…, column, value, lower, upper)`` of values beyond 1.5 IQR."""
-    names = choose_columns(df, columns, "numeric")[:OUTLIER_COLUMNS]
+    names = choose_columns(df, columns, "numeric")
     bounds = detect.outlier_bounds(df, names)
     cells = F.array(*[
         F.struct(F.lit(c).alias("column"), number(df, c).alias("value"),
@@ -235,14 +231,17 @@ def top_importances(
     return df.sparkSession.createDataFrame(rows, "column string, importance double")
 
 
-def data_summary(df: DataFrame) -> DataFrame:
-    """Types, missing counts, shape, numbers of five columns, top cardinalities, duplicates: ``(section, item, value)``."""
+def data_summary(df: DataFrame, top_categories: int | None = None) -> DataFrame:
+    """Types, missing counts, shape, numbers of numeric columns, cardinalities, duplicates: ``(section, item, value)``.
+
+    ``top_categories`` asks for the columns with the most categories only.
+    """
     spark = df.sparkSession
     kinds: dict[str, int] = {}
     for field in df.schema.fields:
         kinds[field.dataType.simpleString()] = kinds.get(field.dataType.simpleString(), 0) + 1
     fixed = [("dtype", k, float(v)) for k, v in kinds.items()] + [("shape", "columns", float(len(df.columns)))]
-    numeric = family_columns(df, "numeric")[:5]
+    numeric = family_columns(df, "numeric")
     parts = [spark.createDataFrame(fixed, "section string, item string, value double")]
 
     names = df.columns
@@ -262,8 +261,10 @@ def data_summary(df: DataFrame) -> DataFrame:
     parts.append(wide)
 
     kinds_of = detect.cardinality(df)
+    if top_categories is not None:
+        kinds_of = kinds_of.orderBy(F.desc("categories"), "column").limit(top_categories)
     parts.append(
-        kinds_of.orderBy(F.desc("categories"), "column").limit(5).select(
+        kinds_of.select(
             F.lit("categories").alias("section"), F.col("column").alias("item"),
             F.col("categories").cast("double").alias("value"),
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
+import math
 from typing import ClassVar
 
 import numpy as np
@@ -17,14 +17,14 @@ from tableloom.operators.base import FittedStep, Step
 from tableloom.operators.transform import best_lambdas
 
 METHODS = ("standard", "minmax", "robust", "maxabs", "quantile", "power")
-MAX_QUANTILES = 1000
+QUANTILES = 1000
 TAIL = 1e-7
 
 
 class FeatureScaler(Step):
     OPTIONS: ClassVar = {
         "method": "standard", "columns": None, "with_mean": True, "with_std": True,
-        "power_method": "yeo-johnson", "lambda_": None, "target": None, "keep": None,
+        "power_method": "yeo-johnson", "lambda_": None, "n_quantiles": QUANTILES, "target": None, "keep": None,
     }
 
     def _check(self) -> None:
@@ -50,7 +50,7 @@ class FeatureScaler(Step):
         elif method == "quantile":
             counts = {c: s["count"] for c, s in numeric_stats(df, names, ["count"]).items()}
             for c in names:
-                size = min(MAX_QUANTILES, counts[c])
+                size = min(self.opt("n_quantiles"), counts[c])
                 if size:
                     grid = np.linspace(0, 1, size).tolist()
                     learned[c] = {"grid": grid, "quantiles": quantiles(df, [c], grid, counts)[c]}
@@ -136,6 +136,32 @@ class FeatureScalerModel(FittedStep):
         return spark.createDataFrame(rows, "column string, parameter string, value double")
 
 
+ERFC = np.frompyfunc(math.erfc, 1, 1)
+#: Coefficients of algorithm AS 241 (Wichura, 1988), constant term first; its outermost range is not needed.
+MIDDLE = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+     4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+     2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3),
+)
+OUTER = (
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+     1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+
+
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """Inverse of the normal distribution function for probabilities from 1e-10 to 1 - 1e-10."""
+    centred = p - 0.5
+    r = 0.180625 - centred * centred
+    tail = np.sqrt(-np.log(np.minimum(p, 1 - p))) - 1.6
+    value = [np.polynomial.polynomial.polyval(x, top) / np.polynomial.polynomial.polyval(x, bottom)
+             for x, (top, bottom) in ((r, MIDDLE), (tail, OUTER))]
+    return np.where(np.abs(centred) <= 0.425, centred * value[0], np.sign(centred) * value[1])
+
+
 def _to_normal(values: list[float], grid: list[float]):
     """Rank by interpolation (from both sides, so ties map to their middle), then the normal inverse."""
 
@@ -145,12 +171,9 @@ def _to_normal(values: list[float], grid: list[float]):
         v = x.to_numpy(dtype=float)
         ranks = 0.5 * (np.interp(v, known, level) - np.interp(-v, -known[::-1], -level[::-1]))
         ranks = np.where(v <= known[0], 0.0, np.where(v >= known[-1], 1.0, ranks))
-        inverse = NormalDist().inv_cdf
-        points = np.unique(ranks[~np.isnan(v)].clip(TAIL, 1 - TAIL))
-        scores = np.array([inverse(p) for p in points])
         out = np.full(len(v), np.nan)
         ok = ~np.isnan(v)
-        out[ok] = scores[np.searchsorted(points, ranks[ok].clip(TAIL, 1 - TAIL))]
+        out[ok] = normal_quantile(ranks[ok].clip(TAIL, 1 - TAIL))
         return pd.Series(out).where(ok, None)
 
     return normal
@@ -160,10 +183,9 @@ def _from_normal(values: list[float], grid: list[float]):
     @F.pandas_udf("double")
     def original(z: pd.Series) -> pd.Series:
         v = z.to_numpy(dtype=float)
-        cdf = NormalDist().cdf
         ok = ~np.isnan(v)
         out = np.full(len(v), np.nan)
-        p = np.array([cdf(x) for x in v[ok]])
+        p = 0.5 * ERFC(-v[ok] / math.sqrt(2)).astype(float)
         # clipped tails stand for the least and greatest value
         p = np.where(p < TAIL * 1.01, 0.0, np.where(p > 1 - TAIL * 1.01, 1.0, p))
         out[ok] = np.interp(p, grid, values)

@@ -27,7 +27,7 @@ MAX_CLASSES = 1000
 class FeatureSelector(Step):
     OPTIONS: ClassVar = {
         "method": "variance", "threshold": 0.01, "k": None, "columns": None, "task_type": "classification",
-        "target": None, "keep": None, "elimination_step": 1, "trees": TREES,
+        "target": None, "keep": None, "elimination_step": 1, "trees": TREES, "max_classes": MAX_CLASSES,
     }
 
     def _check(self) -> None:
@@ -155,21 +155,21 @@ def coded_features(df: DataFrame, features: Sequence[str], target: str, task_typ
     return coded.select(*[F.coalesce(number(coded, c), F.lit(-1.0)).alias(c) for c in features], "__y")
 
 
-def class_codes(df: DataFrame, target: str):
+def class_codes(df: DataFrame, target: str, most: int = MAX_CLASSES):
     """Sorted class labels as 0, 1, …, as an expression; a target has few classes."""
-    labels = class_labels(df, target)
+    labels = class_labels(df, target, most)
     numeric = isinstance(df.schema[target].dataType, NUMERIC)
     labels = sorted(labels, key=float) if numeric else labels
     value = q(target).cast("string")
     return reduce(lambda e, p: e.when(value == p[1], float(p[0])), enumerate(labels[1:], 1), F.when(value == labels[0], 0.0))
 
 
-def class_labels(df: DataFrame, target: str) -> list[str]:
-    """The classes of a target; more than ``MAX_CLASSES`` means it is not a class column."""
+def class_labels(df: DataFrame, target: str, most: int = MAX_CLASSES) -> list[str]:
+    """The classes of a target; more than ``most`` means it is not a class column."""
     counts = df.filter(present(df, target).isNotNull()).groupBy(q(target).cast("string").alias("label")).count()
-    labels = [r["label"] for r in counts.select("label").limit(MAX_CLASSES + 1).collect()]
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+    labels = [r["label"] for r in counts.select("label").limit(most + 1).collect()]
+    if len(labels) > most:
+        raise ValueError(f"{target} has more than {most} classes (max_classes)")
     return sorted(labels)
 
 

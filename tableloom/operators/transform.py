@@ -19,6 +19,8 @@ from tableloom.operators.base import FittedStep, Step
 GRID = [x / 2 for x in range(-10, 11)]
 GRID_POINTS = 21
 GRID_ROUNDS = 4
+#: Lambdas are looked for this far from 0 when the best one lies at an end of the grid.
+WIDEST = 1000.0
 
 
 class _Shifted(Step):
@@ -150,24 +152,27 @@ def best_lambdas(df: DataFrame, names: Sequence[str], kind: str) -> dict[str, fl
     """Maximum-likelihood lambda for all columns at once.
 
     Each round scores a grid of lambdas for every column in one aggregation, then
-    the bracket around the best one is gridded again.
+    the bracket around the best one is gridded again. A best point at an end of
+    its grid moves the grid outwards instead.
     """
     if not names:
         return {}
     forward = box_cox if kind == "box-cox" else yeo_johnson
     grids = {c: list(GRID) for c in names}
     best = dict.fromkeys(names, 1.0)
-    for _ in range(GRID_ROUNDS):
+    rounds = dict.fromkeys(names, GRID_ROUNDS)
+    while open_ := [c for c in names if rounds[c] > 0]:
         aggregates: list[Column] = []
-        for i, c in enumerate(names):
+        for i, c in enumerate(open_):
             x = number(df, c)
             logs = F.log(F.when(x > 0, x)) if kind == "box-cox" else F.signum(x) * F.log1p(F.abs(x))
             aggregates += [F.count(x).alias(f"{i}:n"), F.sum(logs).alias(f"{i}:logs")]
             aggregates += [F.var_pop(forward(x, lam)).alias(f"{i}:{j}") for j, lam in enumerate(grids[c])]
         row = df.agg(*aggregates).first()
-        for i, c in enumerate(names):
+        for i, c in enumerate(open_):
             n, logs = row[f"{i}:n"], row[f"{i}:logs"]
             if not n:
+                rounds[c] = 0
                 continue
 
             def score(j: int, lam: float, n=n, logs=logs, i=i) -> float:
@@ -180,5 +185,9 @@ def best_lambdas(df: DataFrame, names: Sequence[str], kind: str) -> dict[str, fl
             top = int(np.argmax(scores))
             best[c] = grids[c][top]
             step = grids[c][1] - grids[c][0]
+            if top in (0, len(grids[c]) - 1) and scores[top] > -math.inf and abs(best[c]) < WIDEST:  # an end point: look further out first
+                grids[c] = [best[c] + (x - GRID_POINTS // 2) * 2 * step for x in range(GRID_POINTS)]
+                continue
+            rounds[c] -= 1
             grids[c] = np.linspace(best[c] - step, best[c] + step, GRID_POINTS).tolist()
     return {c: float(v) for c, v in best.items()}

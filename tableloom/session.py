@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -30,7 +31,9 @@ def local_session(app: str = "tableloom", cores: str = "*", partitions: int = 8)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: the configured checkpoint folder.
 
-    Only a session without one (tests, local runs) gets a temporary folder.
+    Only a local session without one (tests, local runs) gets a temporary folder,
+    which goes when Python ends; on a cluster a missing folder is an error, for
+    executors would each write to a disk of their own.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
@@ -42,7 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if active is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tableloom-"))
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.TemporaryDirectory(prefix="tableloom-", ignore_cleanup_errors=True)
+        atexit.register(folder.cleanup)
+        context.setCheckpointDir(folder.name)
         active = context.getCheckpointDir()
     return active
 

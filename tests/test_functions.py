@@ -141,3 +141,31 @@ def test_moments_per_class(spark):
         own = frame.loc[frame["y"] == label, ["a", "b", "c"]]
         assert m.n == len(own)
         assert np.allclose(m.covariance(), own.cov())
+
+
+def test_normal_quantile():
+    import numpy as np
+    from statistics import NormalDist
+
+    from tableloom.operators.scale import normal_quantile
+
+    p = np.concatenate([np.linspace(1e-7, 1 - 1e-7, 2001), 10.0 ** -np.arange(2, 10), 1 - 10.0 ** -np.arange(2, 10)])
+    want = [NormalDist().inv_cdf(x) for x in p]
+    assert np.allclose(normal_quantile(p), want, rtol=1e-9, atol=1e-12)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tableloom.session import shared_dir
+
+    def session(master):
+        conf = SimpleNamespace(get=lambda *a: None)
+        context = SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
