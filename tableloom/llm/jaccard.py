@@ -4,8 +4,10 @@ Two documents link if their sets of distinct shingles have a Jaccard similarity
 
 1. Every document becomes a sorted set of shingle hashes. Equal sets form a class; only classes are compared.
 2. A linked partner shares at least ``need`` of the smallest hashes of a class (extended prefix filter). Prefixes are
-   dealt out in packed blocks by hash; classes with too few shared hashes are out, all others are counted again among
-   themselves. Shared hashes join the rest to candidate clusters; no link leaves a cluster.
+   dealt out in packed blocks by hash; classes with too few shared hashes are out. Among the others, the classes that
+   hold each of their shingles are counted. The rarest shingles of a class, as many as the threshold lets a partner
+   lack and one more, form its second prefix; a common one joins classes to a candidate cluster. No link leaves a
+   cluster, and passages that many documents share come last, so they hardly join anything.
 3. Clusters are compared in tasks of bounded size. There, per range of sizes, a signature tree holds in each node the
    OR of its documents' bitmaps and their range of sizes. Two trees are walked together; a pair of nodes is left when
    the common bits, or the sizes, cannot reach the overlap that the threshold asks for, or when all documents below are
@@ -29,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.llm.common import Cache, named
-from tableloom.llm.graph import components
+from tableloom.llm.graph import components, stars
 from tableloom.session import materialise
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 #: Part of a set, beyond what the threshold asks for, that goes into its prefix.
-EXTRA = 0.05
+EXTRA = 0.1
 #: Sizes are cut into ranges by this ratio; two steps of it are at most 1 / threshold for 0.8.
 FAN, LEAF = 8, 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -108,7 +110,11 @@ def sketches(docs: DataFrame, key: str, text: str, percent: int, width: int) ->
     return chosen.mapInArrow(run, f"id {kind}, n bigint, need bigint, fp binary, cls bigint, prefix binary")
 
 
-PACKED = "bucket bigint, own binary, other binary"
+PACKED = "bucket bigint, own binary, other binary, how binary"
+#: Classes of a block that may hold a hash before it counts as frequent for all.
+FREQUENT = 64
+#: Stands for the number of classes of a frequent hash, and marks a size.
+EVERYWHERE, SIZE = 1 << 62, -1
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,20 +131,32 @@ def _pairs(hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h[fresh], c[fresh]
 
 
-def _packed(buckets: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+def _packed(buckets: np.ndarray, *columns: np.ndarray, direct: bool = False) -> Iterator[tuple]:
+    """One row per bucket with all its entries; ``direct`` rows only pass through the bucket on their way."""
     order = np.argsort(buckets, kind="stable")
     starts, _ = _runs(buckets[order])
-    ends = np.r_[starts[1:], len(order)]
-    return [(int(buckets[order[s]]), own[order[s:e]].tobytes(), other[order[s:e]].tobytes()) for s, e in zip(starts, ends)]
+    for s, e in zip(starts, np.r_[starts[1:], len(order)].astype(int)):
+        bucket = int(buckets[order[s]])
+        packed = [c[order[s:e]].tobytes() for c in columns]
+        yield (-1 - bucket if direct else bucket, *packed, *([b""] * (3 - len(packed))))
 
 
-def _batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    a, b, c = zip(*rows) if rows else ((), (), ())
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 4
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["bucket", "own", "other"]
+        [pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "own", "other", "how"]
     )
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["bucket", "own", "other", "how"]).astype({"bucket": "int64"})
+
+
+def _joined(group: pd.DataFrame, column: str, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(b"".join(group[column]), kind)
+
+
 def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (hash, class) of a batch of (class, prefix)."""
     prefixes = batch.column(1).to_pylist()
@@ -147,6 +165,11 @@ def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return _pairs(hashes, classes)
 
 
+def _grouped(dealt: DataFrame, function, schema: str = PACKED) -> DataFrame:
+    bucket = F.col("bucket")
+    return dealt.groupBy(F.when(bucket < 0, -1 - bucket).otherwise(bucket).alias("to")).applyInPandas(function, schema)
+
+
 def shared_counts(rows: DataFrame, buckets: int) -> DataFrame:
     """(cls, shared): how many of a class's prefix hashes other classes have too; ``rows``: (cls, prefix).
 
@@ -163,62 +186,100 @@ def shared_counts(rows: DataFrame, buckets: int) -> DataFrame:
             alone = ~several[run] if len(h) else np.empty(0, bool)
             marks = h[starts[several]]
             hashes, classes = np.r_[h[alone], marks], np.r_[c[alone], np.zeros(len(marks), np.int64)]
-            rows = _packed((hashes & mask).astype(np.int64), hashes, classes)
             known, often = np.unique(c[~alone], return_counts=True)
-            # counts known here travel the same way, marked by a negative bucket number
-            rows += [(-1 - b, own, other) for b, own, other in _packed(known & np.int64(buckets - 1), known, often.astype(np.int64))]
-            yield _batch(rows)
+            out = [*_packed((hashes & mask).astype(np.int64), hashes, classes)]
+            yield _batch([*out, *_packed(known & np.int64(buckets - 1), known, often.astype(np.int64), direct=True)])
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
-        packed = group["bucket"] >= 0
-        h = np.frombuffer(b"".join(group["own"][packed]), np.uint64)
-        h, c = _pairs(h, np.frombuffer(b"".join(group["other"][packed]), np.int64))
+        own, direct = group[group["bucket"] >= 0], group[group["bucket"] < 0]
+        h, c = _pairs(_joined(own, "own", np.uint64), _joined(own, "other"))
         starts, run = _runs(h)
-        several = np.diff(np.r_[starts, len(h)]) > 1
-        marked = np.zeros(len(starts), bool)
-        marked[run[c == 0]] = True
-        hit = (several | marked)[run] & (c != 0) if len(h) else np.empty(0, bool)
-        cls = np.r_[c[hit], np.frombuffer(b"".join(group["own"][~packed]), np.int64)]
-        k = np.r_[np.ones(int(hit.sum()), np.int64), np.frombuffer(b"".join(group["other"][~packed]), np.int64)]
-        known, at = np.unique(cls, return_inverse=True)
-        return pd.DataFrame({"cls": known, "shared": np.bincount(at, k, len(known)).astype(np.int64)})
-
-    dealt = rows.mapInArrow(deal, PACKED)
-    own = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
-    found = dealt.groupBy(own.alias("to")).applyInPandas(gather, "cls bigint, shared bigint")
-    return found.groupBy("cls").agg(F.sum("shared").alias("shared"))
-
-
-def shared_edges(rows: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): edges that connect all classes sharing a prefix hash; ``rows``: (class number, prefix)."""
-    mask = np.uint64(buckets - 1)
+        hit = np.diff(np.r_[starts, len(h)]) > 1
+        hit[run[c == 0]] = True
+        counted = hit[run] & (c != 0) if len(h) else np.empty(0, bool)
+        known, often = np.unique(c[counted], return_counts=True)
+        known, often = np.r_[known, _joined(direct, "own")], np.r_[often, _joined(direct, "other")].astype(np.int64)
+        return _frame([*_packed(known & np.int64(buckets - 1), known, often)])
 
-    def stars(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        starts, run = _runs(h)
-        first = c[starts][run] if len(h) else c
-        edges = np.unique(np.stack([first[first != c], c[first != c]], axis=1), axis=0)
-        return starts, edges[:, 0], edges[:, 1]
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        known, at = np.unique(_joined(group, "own"), return_inverse=True)
+        return pd.DataFrame({"cls": known, "shared": np.bincount(at, _joined(group, "other"), len(known)).astype(np.int64)})
+
+    return _grouped(_grouped(rows.mapInArrow(deal, PACKED), gather), add, "cls bigint, shared bigint")
+
+
+def rare_edges(texts: DataFrame, buckets: int, percent: int, width: int) -> DataFrame:
+    """(a, b): edges that connect all nodes which share a hash of their second prefixes; ``texts``: (node, fp, text).
+
+    Hashes are ordered by the number of nodes that hold them, then by value. A hash that many nodes of one block hold
+    counts as held everywhere, for all nodes alike, so it costs one entry per block.
+    """
+    mask = np.uint64(buckets - 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(width)
         for batch in batches:
-            h, c = _read(batch)
-            starts, a, b = stars(h, c)
-            rows = _packed((h[starts] & mask).astype(np.int64), h[starts], c[starts])
-            rows += [(-1 - k, x, y) for k, x, y in _packed(a & np.int64(buckets - 1), a, b)]
-            yield _batch(rows)
+            held = {}
+            for node, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                own = shingles(text)
+                if xxhash.xxh3_128_digest(own.tobytes()) == mark:  # another row may have the same key
+                    held[node] = own
+            nodes = np.array(sorted(held), np.int64)
+            sizes = np.array([len(held[k]) for k in nodes], np.int64)
+            h, c = _pairs(np.concatenate([np.empty(0, np.uint64), *(held[k] for k in nodes)]), np.repeat(nodes, sizes))
+            starts, run = _runs(h)
+            often = np.diff(np.r_[starts, len(h)]) > FREQUENT
+            frequent = often[run] if len(h) else np.empty(0, bool)
+            marks = h[starts[often]]
+            hashes, classes = np.r_[h[~frequent], marks], np.r_[c[~frequent], np.full(len(marks), -1)]
+            out = [*_packed((hashes & mask).astype(np.int64), hashes, classes)]
+            to = np.r_[c[frequent], nodes]
+            values = np.r_[h[frequent].astype(np.int64), sizes]
+            how = np.r_[np.full(int(frequent.sum()), EVERYWHERE), np.full(len(nodes), SIZE)].astype(np.int64)
+            yield _batch([*out, *_packed(to & np.int64(buckets - 1), to, values, how, direct=True)])
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        own, direct = group[group["bucket"] >= 0], group[group["bucket"] < 0]
+        h, c = _pairs(_joined(own, "own", np.uint64), _joined(own, "other"))
+        starts, run = _runs(h)
+        held = np.diff(np.r_[starts, len(h)]).astype(np.int64)
+        held[run[c == -1]] = EVERYWHERE
+        told = (held[run] > 1) & (c != -1) if len(h) else np.empty(0, bool)
+        nodes = np.r_[c[told], _joined(direct, "own")]
+        values = np.r_[h[told].astype(np.int64), _joined(direct, "other")]
+        how = np.r_[held[run][told] if len(h) else held, _joined(direct, "how")].astype(np.int64)
+        return _frame([*_packed(nodes & np.int64(buckets - 1), nodes, values, how)])
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        nodes, values, how = (_joined(group, c) for c in ("own", "other", "how"))
+        order = np.lexsort((values.view(np.uint64), how, nodes))  # a node's size comes first: SIZE is the least
+        nodes, values, how = nodes[order], values[order], how[order]
+        starts, run = _runs(nodes)
+        place = np.arange(len(nodes)) - starts[run] if len(nodes) else nodes
+        sized = how == SIZE  # more than once if the row was there more than once
+        size = values[starts] if len(nodes) else values
+        extra = np.bincount(run[sized], minlength=len(starts)) if len(nodes) else size
+        shared = np.bincount(run[~sized], minlength=len(starts)) if len(nodes) else size
+        allowed = size - -(-size * percent // 100) + 1 - (size - shared)  # of the shared ones; the others come before
+        taken = ~sized & (place - extra[run] < allowed[run]) if len(nodes) else np.empty(0, bool)
+        h, c = _pairs(values[taken].view(np.uint64), nodes[taken])
+        starts, run = _runs(h)
+        first = c[starts][run] if len(h) else c
+        a, b = stars(first[first != c], c[first != c])
+        out = [*_packed((h[starts] & mask).astype(np.int64), h[starts], c[starts])]
+        return _frame([*out, *_packed(a & np.int64(buckets - 1), a, b, direct=True)])
 
-    def gather(group: pd.DataFrame) -> pd.DataFrame:
-        packed = group["bucket"] >= 0
-        h = np.frombuffer(b"".join(group["own"][packed]), np.uint64)
-        _, a, b = stars(*_pairs(h, np.frombuffer(b"".join(group["other"][packed]), np.int64)))
-        a = np.r_[a, np.frombuffer(b"".join(group["own"][~packed]), np.int64)]
-        b = np.r_[b, np.frombuffer(b"".join(group["other"][~packed]), np.int64)]
-        edges = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
+    def connect(group: pd.DataFrame) -> pd.DataFrame:
+        own, direct = group[group["bucket"] >= 0], group[group["bucket"] < 0]
+        h, c = _pairs(_joined(own, "own", np.uint64), _joined(own, "other"))
+        starts, run = _runs(h)
+        first = c[starts][run] if len(h) else c
+        a, b = np.r_[first[first != c], _joined(direct, "own")], np.r_[c[first != c], _joined(direct, "other")]
+        a, b = stars(a, b)
+        return pd.DataFrame({"a": a, "b": b})
 
-    dealt = rows.mapInArrow(deal, PACKED)
-    own = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
-    return dealt.groupBy(own.alias("to")).applyInPandas(gather, "a bigint, b bigint").distinct()
+    counted = _grouped(texts.mapInArrow(deal, PACKED), count)
+    return _grouped(_grouped(counted, choose), connect, "a bigint, b bigint")
 
 
 # --- 3: signature trees -----------------------------------------------------------------------------------------------
@@ -398,27 +459,11 @@ def bounded(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
-def candidate_classes(marks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Classes that may have a partner (node, fp, n, rep), and the clusters they form (node, cluster)."""
+def candidate_classes(marks: DataFrame, buckets: int) -> DataFrame:
+    """(node, fp, n, rep): the classes that share enough of their prefix; ``node`` numbers them, ``rep`` is a key."""
     classes = marks.groupBy("fp", "cls", "n", "need").agg(F.min("id").alias("rep"))
-    kept = materialise(
-        classes.join(shared_counts(marks.select("cls", "prefix"), buckets), "cls")
-        .filter("shared >= need")
-        .select(F.monotonically_increasing_id().alias("node"), "fp", "n", "need", "rep")
-    )
-    # one row per class from here on; a second count among those that are left
-    own = bounded(kept.select("node", F.col("fp").alias("of"), F.col("rep").alias("at")), 64)
-    rows = materialise(
-        marks.join(own, (F.col("fp") == F.col("of")) & (F.col("id") == F.col("at"))).select("node", "need", "prefix")
-    )
-    again = shared_counts(rows.select((F.col("node") + 1).alias("cls"), "prefix"), buckets)
-    still = materialise(
-        again.select((F.col("cls") - 1).alias("one"), "shared").join(kept, F.col("one") == F.col("node"))
-        .filter("shared >= need").select("node", "fp", "n", "rep")
-    )
-    left = rows.join(bounded(still.select(F.col("node").alias("one")), 32), F.col("one") == F.col("node"))
-    clusters = components(shared_edges(left.select("node", "prefix"), buckets))
-    return still, clusters
+    kept = classes.join(shared_counts(marks.select("cls", "prefix"), buckets), "cls").filter("shared >= need")
+    return materialise(kept.select(F.monotonically_increasing_id().alias("node"), "fp", "n", "rep"))
 
 
 def tasks(members: DataFrame, budget: int, percent: int) -> DataFrame:
@@ -484,22 +529,33 @@ def near_duplicates(
     real = marks.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     entries = real.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 8
     buckets = 1 << max(4, math.ceil(entries / bucket_entries)).bit_length()
-    kept, clusters = candidate_classes(real, buckets)
-    members = materialise(kept.join(clusters.withColumnRenamed("component", "cluster"), "node"))
+    kept = candidate_classes(real, buckets)
+    texts = docs.select(named(key).alias("id"), named(text).cast("binary").alias("text"))
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return texts.join(bounded(nodes.select("node", "fp", "rep"), 64), F.col("id") == F.col("rep")).select("node", "fp", "text")
+
+    edges = rare_edges(texts_of(kept), buckets, percent, width)
+    clusters = components(edges).withColumnRenamed("component", "cluster")
+    members = materialise(kept.join(clusters, "node"))
     where = tasks(members.select("node", "cluster", "n"), budget, percent)
-    texts = docs.select(named(key).alias("id"), named(text).cast("binary").alias("text")).join(
-        bounded(members.select("node", "rep", "fp"), 64), F.col("id") == F.col("rep")
-    )
-    rows = texts.select("node", "fp", "text").join(where, "node")
+    rows = texts_of(members).join(where, "node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         shingles, found = Shingler(width, 100_000), []
         for _, part in group.groupby("part", sort=True):
-            part = part.drop_duplicates(["node", "side"])
-            sets = [shingles(t) for t in part["text"]]
-            nodes = part["node"].to_numpy()
-            found += [(nodes[a], nodes[b]) for a, b in linked(sets, part["side"].to_numpy(), percent)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            sets, nodes, sides, seen = [], [], [], set()
+            for node, side, mark, value in zip(part["node"], part["side"], part["fp"], part["text"]):
+                own = shingles(value)
+                # rows may be there twice, or share their key with another text
+                if xxhash.xxh3_128_digest(own.tobytes()) == mark and (node, side) not in seen:
+                    seen.add((node, side))
+                    sets.append(own)
+                    nodes.append(node)
+                    sides.append(side)
+            found += [(nodes[a], nodes[b]) for a, b in linked(sets, np.array(sides), percent)]
+        a, b = stars(*np.array(found, np.int64).reshape(-1, 2).T)
+        return pd.DataFrame({"a": a, "b": b})
 
     links = materialise(rows.groupBy("task").applyInPandas(compare, "a bigint, b bigint"))
     joined = components(links).join(members.select("node", "fp", "rep"), "node")
