@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +12,12 @@ from tableloom.session import materialise
 
 LITERAL_KEYS = 64
 BROADCAST_BYTES = 32 * 1024 * 1024
-HOT_SHARE = 1 / 128
+#: Rows of one key that one task may hold; a key with more is spread over as many tasks as it takes.
+TASK_ROWS = 1_000_000
+#: Keys listed as hot at most, the largest: any other holds less than this part of all rows, about one task's share
+#: where there are that many tasks.
+HOT_KEYS = 65_536
+#: Tasks over which rows without a key are spread.
 SALTS = 256
 RANK_BLOCK = 65536
 
@@ -40,10 +45,21 @@ def table_size(table: DataFrame, key: str) -> tuple[int, int]:
     return row["n"], 4 * row["chars"] + width * row["n"]
 
 
-def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> list[str]:
-    """Values that hold more than ``HOT_SHARE`` of the rows: at most ``1 / HOT_SHARE`` of them."""
-    rows = counts.filter((q(n) > total * HOT_SHARE) & q(key).isNotNull()).select(key).collect()
-    return [r[0] for r in rows]
+def hot_keys(counts: DataFrame, key: str, n: str) -> dict[str, int]:
+    """Keys with more rows than a task may hold, and the number of tasks that each is spread over."""
+    large = counts.filter((q(n) > TASK_ROWS) & q(key).isNotNull()).orderBy(F.desc(n), key).limit(HOT_KEYS)
+    return {r[0]: -(-r[1] // TASK_ROWS) for r in large.select(q(key).cast("string"), n).collect()}
+
+
+def with_salts(df: DataFrame, key: Column, hot: Mapping[str, int], to: str, missing: bool = True) -> DataFrame:
+    """Adds ``to``: over how many tasks the row's key is spread; rows without a key, if ``missing``, over ``SALTS``."""
+    rest = F.when(key.isNull(), F.lit(SALTS if missing else 1)).otherwise(F.lit(1))
+    if len(hot) <= LITERAL_KEYS:
+        known = literal_map(sorted(hot.items()), key) if hot else F.lit(None)
+        return df.withColumn(to, F.coalesce(known, rest).cast("int"))
+    listed = df.sparkSession.createDataFrame(sorted(hot.items()), "__hot string, __tasks int")  # at most HOT_KEYS rows
+    joined = df.join(F.broadcast(listed), key == F.col("__hot"), "left")
+    return joined.withColumn(to, F.coalesce(F.col("__tasks"), rest).cast("int")).drop("__hot", "__tasks")
 
 
 def lookup_join(
@@ -52,14 +68,16 @@ def lookup_join(
     column: str,
     key: str,
     size_bytes: int | None = None,
-    hot: Sequence[str] = (),
+    hot: Mapping[str, int] | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
     """Left join of a table keyed uniquely by ``key``; brings its other columns.
 
     A table measured to be small is broadcast. Otherwise rows of hot keys, and
-    of missing keys, are spread over salts and the few hot table rows are
-    repeated once per salt.
+    of missing keys, are spread over salts in proportion to their number and the
+    few hot table rows are repeated once per salt. A value that became frequent
+    only after the table was learned is left to adaptive skew-join splitting:
+    the table has one row for it, so only the left side is cut.
     """
     left = q(column).cast("string")
     matches = left.eqNullSafe(F.col("__key")) if null_safe else left == F.col("__key")
@@ -68,17 +86,12 @@ def lookup_join(
         return df.join(F.broadcast(right), matches, "left").drop("__key")
 
     salt = free_name(df, "salt")
-    spread = left.isNull() | (left.isin(*hot) if hot else F.lit(False))
-    salted = df.withColumn(
-        salt,
-        F.when(spread, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"),
-    )
-    repeated = F.col("__key").isNull() | (F.col("__key").isin(*hot) if hot else F.lit(False))
-    right = right.withColumn(
-        "__salt_key",
-        F.explode(
-            F.when(repeated, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        ),
+    hot = hot or {}
+    salted = with_salts(df, left, hot, salt)
+    salted = salted.withColumn(salt, F.pmod(F.monotonically_increasing_id(), q(salt)).cast("int"))
+    right = with_salts(right, F.col("__key"), hot, "__tasks_of_key")
+    right = right.withColumn("__salt_key", F.explode(F.sequence(F.lit(0), F.col("__tasks_of_key") - 1))).drop(
+        "__tasks_of_key"
     )
     return salted.join(right, matches & (q(salt) == F.col("__salt_key")), "left").drop(
         "__key", "__salt_key", salt

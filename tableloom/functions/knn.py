@@ -140,10 +140,7 @@ def _grouped_units(asked: DataFrame, offered: DataFrame, within: str, block_rows
     )
     sizes = materialise(sizes)
     n, size = table_size(sizes, within)
-    totals = sizes.agg(F.sum("n_c"), F.sum("n_q")).first()
-    hot = [] if not n else sorted(
-        {*hot_keys(sizes, within, "n_c", totals[0]), *hot_keys(sizes, within, "n_q", totals[1])}
-    )
+    hot = hot_keys(sizes.withColumn("n", F.greatest("n_c", "n_q")), within, "n")
     sides = []
     for side in (asked, offered):
         parts = sizes.select(

@@ -101,7 +101,7 @@ class CategoricalEncoder(Step):
             _, size = table_size(tables[f"map{i}"], "value")
             large[c] = {
                 "table": f"map{i}", "bytes": size, "method": used,
-                "hot": hot_keys(tables[f"map{i}"], "value", "n", sizes[c]["rows"]),
+                "hot": hot_keys(tables[f"map{i}"], "value", "n"),
             }
         counted = {c: sizes[c]["distinct"] + (sizes[c]["rows"] != sizes[c]["present"]) for c in names if c in sizes}
         state = {"columns": codes, "large": large, "prior": prior, "categories": counted, "order": names}

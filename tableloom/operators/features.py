@@ -146,8 +146,7 @@ class GroupAggregates(Step):
         )
         table = materialise(table)
         _, size = table_size(table, "__group")
-        rows = table.agg(F.sum("__rows")).first()[0] or 0
-        hot = hot_keys(table, "__group", "__rows", rows)
+        hot = hot_keys(table, "__group", "__rows")
         settings = {**self.options(), "aggregations": list(wanted)}
         return GroupAggregatesModel(
             settings, {"group": group, "bytes": size, "hot": hot}, {"groups": table.drop("__rows")}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,18 +46,52 @@ def read_csv(
 ) -> DataFrame:
     """Header row and inferred types; pass ``schema`` to save the inference scan.
 
-    Without ``encoding`` the file is UTF-8 when it decodes as such, else Latin-1.
-    Files stay splittable unless some quoted field really spans lines. One pass
-    over the text decides what was not given.
+    Without ``encoding`` a file is UTF-8 when it decodes as such, else Latin-1.
+    A file stays splittable unless some quoted field in it really spans lines.
+    One pass over the text decides for every file what was not given; files that
+    are read alike are read together.
     """
-    if encoding is None or multiline is None:
-        found = inspect_text(spark, path)
-        encoding = encoding or found["encoding"]
-        multiline = found["multiline"] if multiline is None else multiline
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-    reader = reader.option("multiLine", multiline).option("escape", '"')
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return _filled(reader.csv(path), path)
+
+    def read(paths, code, lines, types):
+        reader = spark.read.option("header", True).option("sep", sep).option("encoding", code)
+        reader = reader.option("multiLine", lines).option("escape", '"')
+        return (reader.schema(types) if types is not None else reader.option("inferSchema", True)).csv(paths)
+
+    if encoding is not None and multiline is not None:
+        return _filled(read(path, encoding, multiline, schema), path)
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for found in inspect_files(spark, path):
+        kind = (encoding or found["encoding"], found["multiline"] if multiline is None else multiline)
+        groups.setdefault(kind, []).append(found["file"])
+    if len(groups) < 2:
+        code, lines = next(iter(groups), (encoding or "UTF-8", bool(multiline)))
+        return _filled(read(path, code, lines, schema), path)
+    parts = [(kind, sorted(files)) for kind, files in sorted(groups.items())]
+    types = schema
+    if types is None:
+        types = common_schema([read(files, *kind, None).schema for kind, files in parts])
+        parts_read = [
+            read(files, *kind, T.StructType([types[f.name] for f in read(files, *kind, None).schema])) for kind, files in parts
+        ]
+    else:
+        parts_read = [read(files, *kind, types) for kind, files in parts]
+    return _filled(reduce(DataFrame.unionByName, parts_read), path)
+
+
+def common_schema(schemas: list[T.StructType]) -> T.StructType:
+    """One type per column that holds what every schema says; columns that differ in name are an error."""
+    widest = [T.IntegerType(), T.LongType(), T.DoubleType()]
+    names = schemas[0].names
+    if any(sorted(s.names) != sorted(names) for s in schemas):
+        raise ValueError(f"files differ in their columns: {', '.join(sorted({n for s in schemas for n in s.names}))}")
+
+    def common(name: str) -> T.DataType:
+        kinds = [s[name].dataType for s in schemas]
+        if all(k == kinds[0] for k in kinds):
+            return kinds[0]
+        return max(kinds, key=widest.index) if all(k in widest for k in kinds) else T.StringType()
+
+    return T.StructType([T.StructField(n, common(n)) for n in names])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -67,15 +104,20 @@ def _filled(df: DataFrame, path: str) -> DataFrame:
     return nan_to_null(df)
 
 
-def inspect_text(spark: SparkSession, path: str) -> dict:
-    """Whether all lines decode as UTF-8, and whether any line leaves a quote open."""
+def inspect_files(spark: SparkSession, path: str) -> list[dict]:
+    """Per file: its encoding, UTF-8 if all lines decode as such, and whether any line leaves a quote open.
+
+    One row per file, as in the driver's own list of the files; empty files have none.
+    """
     line = F.col("value")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    row = spark.read.text(path).agg(
-        F.coalesce(F.bool_and(F.is_valid_utf8(line)), F.lit(True)).alias("utf8"),
-        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("multiline"),
-    ).first()
-    return {"encoding": "UTF-8" if row["utf8"] else FALLBACK_ENCODING, "multiline": row["multiline"]}
+    rows = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.bool_and(F.is_valid_utf8(line)).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("multiline")
+    ).collect()
+    return [
+        {"file": unquote(r["file"]), "encoding": "UTF-8" if r["utf8"] else FALLBACK_ENCODING, "multiline": r["multiline"]}
+        for r in rows
+    ]
 
 
 def preview(df: DataFrame, limit: int = 100, order_by: list[str] | None = None) -> DataFrame:

@@ -71,9 +71,9 @@ def test_lookup_with_hot_and_missing_keys(spark):
     rows = [("hot",)] * 50 + [("cold",)] * 3 + [(None,)] * 20 + [("new",)]
     df = spark.createDataFrame(rows, "k string")
     table = spark.createDataFrame([("hot", 1), ("cold", 2), (None, 3)], "key string, code int")
-    plain = lookup_join(df, table, "k", "key", None, ["hot"])
+    plain = lookup_join(df, table, "k", "key", None, {"hot": 7})
     assert dict(plain.groupBy("code").count().collect()) == {1: 50, 2: 3, None: 21}
-    safe = lookup_join(df, table, "k", "key", None, ["hot"], null_safe=True)
+    safe = lookup_join(df, table, "k", "key", None, {"hot": 7}, null_safe=True)
     assert dict(safe.groupBy("code").count().collect()) == {1: 50, 2: 3, 3: 20, None: 1}
 
 
@@ -169,3 +169,23 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError):
             shared_dir(session(master))
+
+
+def test_keys_are_hot_by_their_rows(spark, monkeypatch):
+    from tableloom.functions import keyed
+    from tableloom.operators.retrieve import lexical_index
+
+    monkeypatch.setattr(keyed, "TASK_ROWS", 100)
+    # one key with 0.3 % of the rows, more than a task may hold; the others with fewer than a task's rows
+    counts = spark.createDataFrame([("warm", 300)] + [(f"k{i}", 99) for i in range(1000)], "key string, n bigint")
+    assert keyed.hot_keys(counts, "key", "n") == {"warm": 3}
+    rows = [("warm",)] * 300 + [("cold",)] * 5
+    df = spark.createDataFrame(rows, "k string")
+    table = spark.createDataFrame([("warm", 1), ("cold", 2)], "key string, code int")
+    for hot in ({"warm": 3}, {"warm": 3} | {f"x{i}": 2 for i in range(100)}):
+        joined = keyed.lookup_join(df, table, "k", "key", None, hot)
+        assert sorted(r.code for r in joined.collect()) == [1] * 300 + [2] * 5
+        salts = keyed.with_salts(df, F.col("k"), hot, "tasks").groupBy("k").agg(F.max("tasks").alias("t")).collect()
+        assert {r.k: r.t for r in salts} == {"warm": 3, "cold": 1}
+    chunks = spark.createDataFrame([(str(i), f"common word{i}") for i in range(250)], "chunk_id string, content string")
+    assert lexical_index(chunks).hot == {"common": 3}

@@ -356,3 +356,41 @@ def test_fitted_steps_work_on_a_stream(spark, small, tmp_path):
     query.awaitTermination(60)
     a, b = (d.toPandas().sort_values("id").reset_index(drop=True) for d in (spark.read.parquet(str(tmp_path / "out")), model.transform(small)))
     pd.testing.assert_frame_equal(a[b.columns], b)
+
+
+def test_csv_files_are_judged_one_by_one(spark, tmp_path):
+    from tableloom.sources.tables import read_csv
+
+    folder = tmp_path / "mixed files"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("name,n\ndéjà,1\n".encode())
+    (folder / "b.csv").write_bytes("name,n\ncafé,2.5\n".encode("latin-1"))
+    (folder / "c.csv").write_bytes('n,name\n3,"two\nlines"\n'.encode())
+    rows = read_csv(spark, str(folder)).orderBy("n").collect()
+    assert [(r.name, r.n) for r in rows] == [("déjà", 1.0), ("café", 2.5), ("two\nlines", 3.0)]
+    given = read_csv(spark, str(folder / "a.csv"), schema="name string, n int").collect()
+    assert [(r.name, r.n) for r in given] == [("déjà", 1)]
+    # a stray quote makes its own file one task, not the others
+    (folder / "c.csv").write_bytes(b'name,n\nsix " inches,3\n')
+    (folder / "b.csv").write_bytes(b"name,n\nplain,2\n")
+    rows = read_csv(spark, str(folder)).orderBy("n").collect()
+    assert [r.n for r in rows] == [1, 2, 3]
+    (folder / "c.csv").write_bytes(b"name,m\nx,3\n")
+    (folder / "b.csv").write_bytes("name,n\ncafé,2\n".encode("latin-1"))
+    assert read_csv(spark, str(folder / "b.csv")).first()["name"] == "café"
+
+
+def test_bm25_joins_few_chunks(spark):
+    from tableloom.operators import retrieve
+
+    chunks = spark.createDataFrame(
+        [(f"c{i:03d}", "common words here " + (f"rare{i} " if i % 5 == 0 else "") + "pad " * (i % 7)) for i in range(200)],
+        "chunk_id string, content string",
+    )
+    queries = spark.createDataFrame([("q1", "common rare5 rare10"), ("q2", "words"), ("q3", "absent")], "query_id string, text string")
+    index = retrieve.lexical_index(chunks)
+    got = retrieve.bm25_top_k(queries, index, 3).collect()
+    assert [r.chunk_id for r in sorted((r for r in got if r.query_id == "q1"), key=lambda r: r["rank"])][:2] == ["c005", "c010"] or {
+        r.chunk_id for r in got if r.query_id == "q1" and r["rank"] <= 2
+    } == {"c005", "c010"}
+    assert len([r for r in got if r.query_id == "q2"]) == 3 and not [r for r in got if r.query_id == "q3"]
