@@ -353,7 +353,7 @@ def m14(spark, sf):
     df = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
     found = models.train(
         df, "randomforest", "classification", "o_orderkey", "o_orderstatus", ["o_totalprice", "year"],
-        {"n_estimators": 10, "max_depth": 4},
+        {"max_depth": 4},
     )
     out = found.probabilities(df)
     total = F.aggregate("probability", F.lit(0.0), lambda a, v: a + v)
@@ -416,12 +416,12 @@ def m17(spark, sf):
 
 
 def m18(spark, sf):
-    candidates = [{"max_depth": p["max_depth"] % 6 + 1, "max_features": None} for p in search.random_params(
+    candidates = [{"max_depth": p["max_depth"], "max_features": None} for p in search.random_params(
         {"max_depth": models.SCHEMAS["decisiontree"]["max_depth"]}, 2, seed=7
     )]
     return search.random_search(
         LINES.df(spark, sf), "decisiontree", "regression", "id", candidates, target="price",
-        features=["l_quantity", "l_tax"], folds=3,
+        features=["l_quantity", "l_tax"],
     )
 
 
@@ -438,7 +438,6 @@ M18_SQL = """
     FROM n UNION ALL SELECT 'learning_rate', CASE WHEN n > 10000 THEN 0.05 ELSE 0.1 END FROM n
     UNION ALL SELECT * FROM (VALUES ('random_state', 42.0), ('subsample', 1.0), ('max_depth', 3.0), ('min_samples_split', 2.0))"""
 
-TINY = {"n_estimators": 10}
 CHECKS = {
     "b1_random_over": (b1, B1_SQL),
     "b2_random_under": (b2, B2_SQL),
@@ -455,7 +454,7 @@ CHECKS = {
     "l2_prepare_imbalanced": (l2_imbalanced, f"WITH s AS {SIZES} SELECT label, (SELECT max(n) FROM s) AS n FROM s"),
     "l3_stage_of_ones_own": (l3, L3_SQL),
     "m1_linear_regression": (fitted("linear"), fitted_sql("cxy / vx")),
-    "m1_logistic": (classified("linear", {"C": 1.0, "max_iter": 100}), None),
+    "m1_logistic": (classified("linear", {"C": 1.0}), None),
     "m2_ridge": (fitted("ridge", {"alpha": 50.0}), fitted_sql("cxy / (vx + 50.0 / n)")),
     "m3_lasso": (fitted("lasso", {"alpha": 20.0}), fitted_sql("sign(cxy) * greatest(abs(cxy) - 20.0, 0) / vx")),
     "m4_elastic_net": (
@@ -463,12 +462,12 @@ CHECKS = {
         fitted_sql("sign(cxy) * greatest(abs(cxy) - 5.0, 0) / (vx + 5.0)"),
     ),
     "m5_decision_tree": (classified("decisiontree", {"max_depth": 5, "max_features": None}), None),
-    "m6_random_forest": (classified("randomforest", {**TINY, "max_depth": 5}), None),
-    "m7_gradient_boosting": (regressed("gradientboosting", TINY), None),
-    "m7_gradient_boosting_classes": (classified("gradientboosting", {**TINY, "max_depth": 2}), None),
-    "m8_boosting_xgboost_profile": (regressed("xgboost", {**TINY, "max_depth": 4, "colsample_bytree": 0.7}), None),
-    "m9_boosting_lightgbm_profile": (regressed("lightgbm", {**TINY, "num_leaves": 15}), None),
-    "m10_boosting_catboost_profile": (regressed("catboost", {**TINY, "depth": 4}), None),
+    "m6_random_forest": (classified("randomforest", {"max_depth": 5}), None),
+    "m7_gradient_boosting": (regressed("gradientboosting", {}), None),
+    "m7_gradient_boosting_classes": (classified("gradientboosting", {"max_depth": 2}), None),
+    "m8_boosting_xgboost_profile": (regressed("xgboost", {"max_depth": 4, "colsample_bytree": 0.7}), None),
+    "m9_boosting_lightgbm_profile": (regressed("lightgbm", {"num_leaves": 15}), None),
+    "m10_boosting_catboost_profile": (regressed("catboost", {"depth": 4}), None),
     "m11_neighbour_vote": (m11("classification"), M11_VOTE),
     "m11_neighbour_mean_by_distance": (m11("regression", weights="distance"), M11_MEAN),
     "m12_k_neighbours": (m12("euclidean"), m12_sql(EUCLID)),

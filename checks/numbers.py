@@ -113,21 +113,21 @@ def likelihood_sql(kind: str, digits: int) -> str:
 
 def t6(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    model = transform.PercentileTransformer(columns=["l_quantity"], n_quantiles=101).fit(df)
+    model = transform.PercentileTransformer(columns=["l_quantity"], n_quantiles=1000).fit(df)
     return rounded_columns(model.transform(df), ["l_quantity"])
 
 
 T6_SQL = f"""
     WITH g AS (SELECT list(v ORDER BY i) AS grid FROM (
-           SELECT i, quantile_cont(l_quantity, i / 100.0) AS v FROM
-             (SELECT unnest(range(0, 101)) AS i) p, lineitem GROUP BY i)),
+           SELECT i, quantile_cont(l_quantity, i / 999.0) AS v FROM
+             (SELECT unnest(range(0, 1000)) AS i) p, lineitem GROUP BY i)),
          d AS (SELECT DISTINCT l_quantity AS v FROM lineitem),
-         m AS (SELECT v, len(list_filter(grid, lambda x: x < v)) / 101.0 AS share FROM d, g)
+         m AS (SELECT v, len(list_filter(grid, lambda x: x < v)) / 1000.0 AS share FROM d, g)
     SELECT l_orderkey, l_linenumber, {near('share')} AS l_quantity FROM lineitem JOIN m ON l_quantity = v"""
 T6_SQL = T6_SQL.replace(
-    "quantile_cont(l_quantity, i / 100.0) AS v FROM\n             (SELECT unnest(range(0, 101)) AS i) p, lineitem GROUP BY i",
-    "q AS v FROM (SELECT unnest(range(0, 101)) AS i, unnest((SELECT quantile_cont(l_quantity, ["
-    + ", ".join(str(i / 100) for i in range(101)) + "]) FROM lineitem)) AS q)",
+    "quantile_cont(l_quantity, i / 999.0) AS v FROM\n             (SELECT unnest(range(0, 1000)) AS i) p, lineitem GROUP BY i",
+    "q AS v FROM (SELECT unnest(range(0, 1000)) AS i, unnest((SELECT quantile_cont(l_quantity, ["
+    + ", ".join(repr(i / 999) for i in range(1000)) + "]) FROM lineitem)) AS q)",
 )
 
 

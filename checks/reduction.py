@@ -74,13 +74,13 @@ def orders(spark, sf):
 
 def r3(spark, sf):
     model = FeatureSelector(
-        method="importance", columns=ORDERS, target="o_orderstatus", k=2, trees=20
+        method="importance", columns=ORDERS, target="o_orderstatus", k=2
     ).fit(orders(spark, sf))
     return model.scores(spark)
 
 
 def r4(spark, sf):
-    model = FeatureSelector(method="rfe", columns=ORDERS, target="o_orderstatus", k=2, trees=10).fit(orders(spark, sf))
+    model = FeatureSelector(method="rfe", columns=ORDERS, target="o_orderstatus", k=2).fit(orders(spark, sf))
     return model.scores(spark)
 
 
@@ -277,7 +277,7 @@ V7_SQL = f"""
 
 
 def v8(spark, sf):
-    return profile.top_importances(orders(spark, sf), ORDERS, "o_orderstatus", n=3, trees=10)
+    return profile.top_importances(orders(spark, sf), ORDERS, "o_orderstatus", n=3)
 
 
 def v9(spark, sf):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
@@ -174,8 +175,13 @@ def detection_report(
     outlier_threshold: float = OUTLIER_THRESHOLD,
     correlation_threshold: float = CORRELATION_THRESHOLD,
     max_categories: int = MAX_CATEGORIES,
+    isolate: bool = False,
 ) -> DataFrame:
-    """All detectors in long form: ``(detector, column, metric, value, problem)``."""
+    """All detectors in long form: ``(detector, column, metric, value, problem)``.
+
+    With ``isolate`` every detector runs at once and by itself; one that fails
+    leaves one line, a problem whose metric names the error, and the others go on.
+    """
 
     def line(detector: str, frame: DataFrame, column: Column, metrics: dict[str, str], flagged: str) -> DataFrame:
         records = F.array(
@@ -190,18 +196,50 @@ def detection_report(
         return frame.select(F.lit(detector).alias("detector"), column.alias("column"), F.inline(records))
 
     pair = F.concat_ws(",", "column_a", "column_b")
-    related = correlated_pairs(df, correlation_threshold).withColumn("problem", F.lit(True))
-    frames = [
-        line("missing_values", missing_values(df, missing_threshold), F.col("column"),
-             {"missing": "missing", "percent": "percent"}, "percent"),
-        line("outliers", outliers(df, outlier_method, outlier_threshold), F.col("column"),
-             {"outliers": "outliers", "percent": "percent"}, "outliers"),
-        line("correlation", related, pair, {"correlation": "correlation"}, "correlation"),
-        line("cardinality", cardinality(df, max_categories), F.col("column"),
-             {"categories": "categories"}, "categories"),
-        line("duplicates", duplicates(df), F.lit(None).cast("string"), {"duplicates": "duplicates"}, "duplicates"),
-    ]
-    return reduce(DataFrame.unionByName, frames)
+    column, none = F.col("column"), F.lit(None).cast("string")
+    detectors: dict[str, Callable[[], DataFrame]] = {
+        "missing_values": lambda: line(
+            "missing_values", missing_values(df, missing_threshold), column,
+            {"missing": "missing", "percent": "percent"}, "percent",
+        ),
+        "outliers": lambda: line(
+            "outliers", outliers(df, outlier_method, outlier_threshold), column,
+            {"outliers": "outliers", "percent": "percent"}, "outliers",
+        ),
+        "correlation": lambda: line(
+            "correlation", correlated_pairs(df, correlation_threshold).withColumn("problem", F.lit(True)), pair,
+            {"correlation": "correlation"}, "correlation",
+        ),
+        "cardinality": lambda: line(
+            "cardinality", cardinality(df, max_categories), column, {"categories": "categories"}, "categories"
+        ),
+        "duplicates": lambda: line("duplicates", duplicates(df), none, {"duplicates": "duplicates"}, "duplicates"),
+    }
+    if not isolate:
+        return reduce(DataFrame.unionByName, [make() for make in detectors.values()])
+
+    def alone(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        try:
+            return materialise(make())
+        except Exception as error:  # whatever a detector raises is its own result
+            text = f"failed: {type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
+            return df.sparkSession.createDataFrame(
+                [(name, None, text, None, True)],
+                "detector string, column string, metric string, value double, problem boolean",
+            )
+
+    return reduce(DataFrame.unionByName, [alone(name, make) for name, make in detectors.items()])
+
+
+@dataclass(frozen=True)
+class Detector:
+    """A detector with its options, for use by name."""
+
+    function: Callable[..., DataFrame]
+    options: dict
+
+    def detect(self, df: DataFrame) -> DataFrame:
+        return self.function(df, **self.options)
 
 
 def report_summary(report: DataFrame) -> DataFrame:
@@ -216,8 +254,11 @@ def report_summary(report: DataFrame) -> DataFrame:
 
 
 def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Problems grouped by column, and the verdict ``(is_valid, total_problems, columns_with_issues)``."""
-    problems = detection_report(df).filter("problem")
+    """Problems grouped by column, and the verdict ``(is_valid, total_problems, columns_with_issues)``.
+
+    A failing detector counts as a problem without a column and does not stop the others.
+    """
+    problems = detection_report(df, isolate=True).filter("problem")
     named = problems.filter((F.col("detector") != "correlation") & F.col("column").isNotNull())
     by_column = named.groupBy("column").agg(
         F.concat_ws(",", F.array_sort(F.collect_set("detector"))).alias("detectors"),

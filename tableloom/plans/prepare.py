@@ -10,7 +10,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.sql import DataFrame
 
 from tableloom.functions.columns import detect_target
-from tableloom.operators import clean, encode, features, reduce, scale, select, transform
+from tableloom.operators import clean, detect, encode, features, reduce, scale, select, transform
 from tableloom.operators.balance import ClassBalancer
 from tableloom.plans.config import PrepareConfig
 from tableloom.session import materialise
@@ -37,6 +37,13 @@ COMPONENTS: dict[str, Callable[..., Any]] = {
     "pca": reduce.PCAReducer,
     "lda": reduce.LDAReducer,
     "balancing": ClassBalancer,
+    **{
+        f"{name}_detector": lambda function=function, **options: detect.Detector(function, options)
+        for name, function in {
+            "missing": detect.missing_values, "outlier": detect.outliers, "correlation": detect.correlated_pairs,
+            "cardinality": detect.cardinality, "duplicate": detect.duplicates,
+        }.items()
+    },
 }
 
 

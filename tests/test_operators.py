@@ -394,3 +394,46 @@ def test_bm25_joins_few_chunks(spark):
         r.chunk_id for r in got if r.query_id == "q1" and r["rank"] <= 2
     } == {"c005", "c010"}
     assert len([r for r in got if r.query_id == "q2"]) == 3 and not [r for r in got if r.query_id == "q3"]
+
+
+def test_a_failing_detector_leaves_the_others(spark, monkeypatch):
+    from tableloom.operators import detect
+    from tableloom.plans.prepare import create
+
+    df = spark.createDataFrame([(1.0, "a"), (None, "a"), (1.0, "a"), (2.0, None)], "x double, c string")
+
+    def broken(*args, **options):
+        raise KeyError("no such column")
+
+    monkeypatch.setattr(detect, "cardinality", broken)
+    by_column, verdict = detect.validate(df)
+    row = verdict.first()
+    assert not row.is_valid and row.total_problems >= 3
+    report = detect.detection_report(df, isolate=True)
+    failed = [r for r in report.collect() if r.metric.startswith("failed")]
+    assert [(r.detector, r.problem) for r in failed] == [("cardinality", True)] and "no such column" in failed[0].metric
+    assert {r.detector for r in report.collect()} >= {"missing_values", "duplicates", "outliers"}
+    assert create("missing_detector", threshold=0.5).detect(df).filter("problem").count() == 0
+    assert create("duplicate_detector").detect(df).count() == 1
+
+
+def test_caps_are_gone_or_raise(spark):
+    from tableloom.operators import features, models, profile
+
+    df = spark.createDataFrame([tuple(float(i * j % 11) for j in range(20)) for i in range(40)], [f"n{j}" for j in range(20)])
+    names = set(df.columns)
+    assert {r["column"] for r in profile.histogram(df).select("column").distinct().collect()} == names
+    assert {r["column"] for r in profile.box_summary(df).collect()} == names
+    assert {r["column"] for r in profile.box_summary(df, sorted(names)).collect()} == names
+    spiked = df.withColumns({"key": F.monotonically_increasing_id(), **{c: F.when(F.col(c) == 3, 9e9).otherwise(F.col(c)) for c in ("n3", "n7", "n13", "n17", "n19")}})
+    seen = {r["column"] for r in profile.outlier_points(spiked, ["key"], sorted(names)).collect()}
+    assert {"n3", "n7", "n13", "n17", "n19"} <= seen
+    described = {r["item"].split(".")[0] for r in profile.data_summary(df).filter("section = 'describe'").collect()}
+    assert described == names
+    made = features.RatioFeatures().fit(df).transform(df)
+    assert len(made.columns) == 20 + 20 * 19
+    with pytest.raises(ValueError):
+        features.RatioFeatures(max_pairs=100).fit(df)
+    with pytest.raises(ValueError):
+        models.checked_params("decisiontree", "regression", {"max_depth": 80})
+    assert models.checked_params("decisiontree", "regression", {})["max_depth"] == 30
