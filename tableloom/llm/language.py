@@ -171,6 +171,26 @@ def count(docs: DataFrame, limit: int = 300_000) -> DataFrame:
     return rows.groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+def commonest(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """Count in training rows of the commonest tokens, at most ``most`` of them.
+
+    A histogram of the counts in eighths of powers of two tells from where on they are few enough; tokens under that
+    each hold less than 1 / ``most`` of all tokens.
+    """
+    step = F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")
+    held = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    least, seen = None, 0
+    for row in held:
+        seen += row["count"]
+        if seen > most:
+            break
+        least = row["step"]
+    if least is None:
+        return {}
+    rows = counts.filter(step >= least).select("token", "c", "n").collect()
+    return {bytes(r["token"]): r["c"] for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["token"])))}
+
+
 def average(copies: DataFrame, at_once: int = 32) -> tuple[np.ndarray, int]:
     """Sum of the copies' values, each times its tokens, and the tokens: added up in groups until one row is left."""
 
@@ -223,7 +243,7 @@ def score(
     n_all, v_all = sums["n"], sums["v"]
 
     # tables of bounded size for the tasks: common tokens, single tokens, endings, sums of the classes
-    top = {bytes(r["token"]): r["c"] for r in counts.orderBy(F.desc("n"), "token").limit(common).collect()}
+    top = commonest(counts, common)
     end = counts.filter(F.length("token") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     alone = counts.filter((F.length("token") > 0) & (F.col("c") > 0)).orderBy(F.desc("c"), "token").limit(singles)
     heavy = [(END, end), *((bytes(r["token"]), r["c"]) for r in alone.select("token", "c").collect())]
