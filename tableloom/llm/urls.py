@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableloom.llm.common import named
+from tableloom.llm.common import named, smallest
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DIMENSIONS = 1 << 18
@@ -138,8 +138,10 @@ def judge(
         h, p = host_and_path(F.col("url"))
         known = labelled.select(h.alias("h"), p.alias("p"), F.col("blocked").cast("int").alias("y"))
     known = known.filter(F.col("y").isin(0, 1)).distinct()
-    order = F.xxhash64("h", "p")
-    small = [r for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy(order, "h", "p").limit(max_labelled).collect()]
+    small = [
+        r for y in (0, 1)
+        for r in smallest(known.filter(F.col("y") == y), F.xxhash64("h", "p"), ["h", "p"], max_labelled).collect()
+    ]
     model = train([r["h"] for r in small], [r["p"] for r in small], [r["y"] for r in small])
     shared = pages.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS weights
 
