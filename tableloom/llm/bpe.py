@@ -125,32 +125,48 @@ def read_definition(path: str) -> str:
         return source.read()
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+#: Documents taken out of a batch at once; results leave in batches of as many.
+ROWS_AT_ONCE = 128
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Replaces the text column by ``ids``: little-endian unsigned 32-bit token ids in one binary value.
 
-    A null text counts as empty; empty texts have no ids. Repeated rows are encoded each; all other columns stay. An
-    existing column named like ``ids`` is replaced. An empty table gives an empty table.
+    With ``decoded``, a column of that name holds the ids decoded again, by the same pass. A null text counts as empty;
+    empty texts have no ids. Repeated rows are encoded each; all other columns stay. Existing columns named like the new
+    ones are replaced. An empty table gives an empty table.
     """
-    return _mapped(df, path, text, ids, "binary", lambda pairs: lambda value: pairs.encode(value or ""), pa.binary())
+
+    def both(pairs: BytePairs, value: str | None) -> tuple:
+        found = pairs.encode(value or "")
+        return (found,) if decoded is None else (found, pairs.decode(found))
+
+    targets = {ids: ("binary", pa.binary())} | ({} if decoded is None else {decoded: ("string", pa.string())})
+    return _mapped(df, path, text, targets, both)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """Replaces the ids column by the decoded ``text``; null ids decode to the empty text."""
-    return _mapped(df, path, ids, text, "string", lambda pairs: lambda value: pairs.decode(value or b""), pa.string())
+    return _mapped(df, path, ids, {text: ("string", pa.string())}, lambda pairs, value: (pairs.decode(value or b""),))
 
 
-def _mapped(df: DataFrame, path: str, source: str, target: str, kind: str, maker, arrow_type) -> DataFrame:
+def _mapped(df: DataFrame, path: str, source: str, targets: dict[str, tuple], change) -> DataFrame:
     definition = df.sparkSession.sparkContext.broadcast(read_definition(path))
-    others = [c for c in df.columns if c not in (source, target)]
+    others = [c for c in df.columns if c != source and c not in targets]
+    kinds = list(targets.values())
+    names = [f"c{i}" for i in range(len(others) + len(kinds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        change = maker(BytePairs(definition.value))
-        for batch in batches:
-            made = pa.array([change(v) for v in batch.column(len(others)).to_pylist()], type=arrow_type)
-            kept = [batch.column(i) for i in range(len(others))]
-            yield pa.RecordBatch.from_arrays([*kept, made], names=[f"c{i}" for i in range(len(others) + 1)])
+        pairs = BytePairs(definition.value)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                made = [change(pairs, v) for v in batch.column(len(others)).to_pylist()]
+                new = [pa.array([m[i] for m in made], type=kind) for i, (_, kind) in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), *new], names=names)
 
     # numbered names on the way: columns may be called anything, with dots too
     chosen = df.select(*map(named, others), named(source)).toDF(*(f"c{i}" for i in range(len(others) + 1)))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
-    return chosen.mapInArrow(run, ", ".join([*fields, f"c{len(others)} {kind}"])).toDF(*others, target)
+    fields += [f"c{len(others) + i} {kind}" for i, (kind, _) in enumerate(kinds)]
+    return chosen.mapInArrow(run, ", ".join(fields)).toDF(*others, *targets)

@@ -18,12 +18,11 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode(docs.select("doc_id", "text"), path)
-    hashed = coded.select(
-        "doc_id", "ids", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")
-    )
-    return bpe.decode(hashed, path).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256")
+    # one pass for both ways: one Python worker per task
+    coded = bpe.encode(docs.select("doc_id", "text"), path, decoded="decoded")
+    return coded.select(
+        "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

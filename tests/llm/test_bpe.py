@@ -76,6 +76,8 @@ def test_rows(spark):
         assert row.decoded_sha256 == hashlib.sha256(TOOL.decode(enc.ids, skip_special_tokens=False).encode()).hexdigest()
     kept = bpe.encode(spark.createDataFrame([(1, "a", 5)], "`a.b` int, text string, ids int"), PATH)
     assert kept.columns == ["a.b", "ids"]
+    back = bpe.decode(kept, PATH)
+    assert [tuple(r) for r in back.collect()] == [(1, TOOL.decode(TOOL.encode("a").ids, skip_special_tokens=False))]
     assert bpe_digests(df.limit(0)).count() == 0
 
 
