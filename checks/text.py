@@ -150,6 +150,19 @@ def x6(spark, sf):
     return index.terms.select("term", "df", rounded("idf", 6).alias("idf"))
 
 
+def x6_stored(spark, sf):
+    """An index whose English documents were stored with another text first, and one more document that went again."""
+    docs = corpus(spark, sf).withColumn("document_id", F.col("document_name"))
+    english = table(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    first = docs.join(english, "chunk_id", "left_anti").unionByName(
+        docs.join(english, "chunk_id", "left_semi").withColumn("content", F.lit("an older text"))
+    ).unionByName(spark.createDataFrame([("x", "docx", "gone soon", "docx")], "chunk_id string, document_name string, content string, document_id string"))
+    stored = retrieve.StoredIndex(spark, scratch_path(spark, "lexical"))
+    stored.create(first)
+    stored.replace(docs.join(english, "chunk_id", "left_semi"), spark.createDataFrame([("docx",)], "document_id string"))
+    return stored.open().terms.select("term", "df", rounded("idf", 6).alias("idf"))
+
+
 X6_SQL = f"""
     WITH p AS ({POSTINGS_SQL}), n AS (SELECT count(*) AS n FROM documents)
     SELECT term, df, {near('ln(1 + (n - df + 0.5) / (df + 0.5))', 6)} AS idf
@@ -225,6 +238,42 @@ X9_SQL = f"""
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id
             ORDER BY rrf DESC, sr ASC NULLS LAST, lr ASC NULLS LAST) AS rank FROM f) WHERE rank <= 5"""
 
+def dealt_vectors(spark, sf, docs):
+    """Documents with a vector each: there are fewer vectors, so they are dealt out in turn."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), "embedding")
+    turn = F.pmod(F.col("chunk_id").cast("bigint"), F.lit(vectors.count()))
+    return docs.withColumn("n", turn).join(vectors, "n").drop("n")
+
+
+def x9_hybrid(spark, sf):
+    """Benchmark passages as questions, with the vector of their number, over all documents."""
+    docs = corpus(spark, sf)
+    questions = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), "item_id", "text")
+    out = retrieve.hybrid_top_k(
+        dealt_vectors(spark, sf, questions), dealt_vectors(spark, sf, docs), retrieve.lexical_index(docs),
+        query_id="item_id",
+    )
+    return out.select(
+        "query_id", "chunk_id", rounded("rrf_score", 6).alias("rrf_score"), rounded("lexical_score", 5).alias("lexical_score"),
+        F.col("rank").cast("bigint").alias("rank"),
+    )
+
+
+X9_HYBRID_SQL = f"""
+    WITH l AS ({BM25_SQL}), n AS (SELECT count(*) AS n FROM embeddings),
+         v AS (SELECT a.vec_id AS qv, b.vec_id AS cv, list_cosine_similarity({DOUBLES}) AS score
+               FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id % n FROM benchmark, n)),
+         s AS (SELECT query_id, chunk_id, rank FROM (
+           SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id,
+                  row_number() OVER (PARTITION BY item_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS rank
+           FROM benchmark, documents, n JOIN v ON qv = item_id % n AND cv = doc_id % n) WHERE rank <= 10),
+         f AS (SELECT query_id, chunk_id, coalesce(1.0 / (60 + s.rank), 0) + coalesce(1.0 / (60 + l.rank), 0) AS rrf,
+                      l.score AS ls, s.rank AS sr, l.rank AS lr
+               FROM s FULL OUTER JOIN l USING (query_id, chunk_id))
+    SELECT query_id, chunk_id, {near('rrf')} AS rrf_score, {near('ls', 5)} AS lexical_score, rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+            ORDER BY rrf DESC, sr ASC NULLS LAST, lr ASC NULLS LAST) AS rank FROM f) WHERE rank <= 5"""
+
 # -- answer cache --------------------------------------------------------------------
 
 CACHE = Source(
@@ -296,10 +345,7 @@ def x15(spark, sf):
         F.col("vec_id").alias("query_id"), "question", "embedding", "scope", "dataset_fingerprint"
     )
     cached = entries.withColumnRenamed("vec_id", "entry_id")
-    docs = corpus(spark, sf).withColumn("n", F.col("chunk_id").cast("bigint"))
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), "embedding")
-    # fewer vectors than documents: they are dealt out in turn, so every document is searched
-    chunked = docs.withColumn("n", F.pmod("n", F.lit(vectors.count()))).join(vectors, "n").drop("n")
+    chunked = dealt_vectors(spark, sf, corpus(spark, sf))
     routed = answers.answer_route(
         questions.withColumn("query_id", F.col("query_id").cast("string")),
         cached.withColumn("entry_id", F.col("entry_id").cast("string")), chunked, retrieve.lexical_index(chunked),
@@ -357,12 +403,14 @@ CHECKS = {
     "x4_chunk_rows": (x4, X4_SQL),
     "x5_replace_documents": (x5, X5_SQL),
     "x6_lexical_index": (x6, X6_SQL),
+    "x6_stored_index": (x6_stored, X6_SQL),
     "x7_bm25_top_k": (x7, f"SELECT query_id, chunk_id, {near('score', 5)} AS score, rank FROM ({BM25_SQL})"),
     "x8_vector_top_k": (x8, f"SELECT query_id, chunk_id, {near('score')} AS score, rank FROM ({COSINE_SQL})"),
     "x8_vector_threshold": (
         x8_threshold, f"SELECT query_id, chunk_id, {near('score')} AS score FROM ({COSINE_SQL}) WHERE score >= 0.4",
     ),
     "x9_rank_fusion": (x9, X9_SQL),
+    "x9_hybrid_top_k": (x9_hybrid, X9_HYBRID_SQL),
     "x10_cache_lookup": (
         x10, f"SELECT query_id, entry_id, scope, {near('similarity')} AS similarity FROM ({LOOKUP_SQL})",
     ),

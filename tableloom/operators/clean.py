@@ -29,7 +29,10 @@ def drop_duplicates(
     keep: str | bool = "first",
     order_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Keep the first, the last, or (``False``) no member of each group of equal rows."""
+    """Keep the first, the last, or (``False``) no member of each group of equal rows.
+
+    Rows have no order of their own: without ``order_by`` the other columns, as far as they can be ordered, decide.
+    """
     keys = choose_columns(df, subset)
     if keep is False:
         single = df.groupBy(*[q(c) for c in keys]).agg(
@@ -38,11 +41,17 @@ def drop_duplicates(
         return single.filter(F.col("__n") == 1).select("__row.*")
     if keep not in ("first", "last"):
         raise ValueError("keep must be 'first', 'last' or False")
+    if not order_by:
+        order_by = [f.name for f in df.schema.fields if f.name not in keys and not _has_map(f.dataType)]
     if not order_by:
         return df.dropDuplicates(keys)
     return first_by(df, keys, [q(c) for c in order_by], last=keep == "last")
 
 
+def _has_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
+
+
 class DuplicateDropper(Step):
     """Duplicates are judged on the features; the target travels with its row."""
 

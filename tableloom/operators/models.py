@@ -11,7 +11,7 @@ from typing import Any, ClassVar
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -361,11 +361,25 @@ class Trained:
             raise ValueError("probabilities exist only for classification")
         if self.kind == "knn":
             return self.model.probabilities(_assembled(df, self.features, None, self.key))
-        scored = _score(self.model, _assembled(df, self.features, None, self.key), self.kind)
-        if "probability" not in scored.columns:
-            raise ValueError(f"{self.kind} with more than two classes has no probabilities")
+        assembled = _assembled(df, self.features, None, self.key)
+        if isinstance(self.model, OneVsRestModel):
+            return self._one_against_rest(assembled)
+        scored = _score(self.model, assembled, self.kind)
         return scored.withColumn("probability", vector_to_array("probability")).drop(FEATURES, KEY, "rawPrediction")
 
+    def _one_against_rest(self, assembled: DataFrame) -> DataFrame:
+        """Each class's own probability against the rest, scaled to a sum of one."""
+        scored = self.model.transform(assembled).drop("rawPrediction")
+        parts = []
+        for i, model in enumerate(self.model.models):
+            own = model.copy().setPredictionCol(f"__p{i}").setProbabilityCol(f"__q{i}").setRawPredictionCol(f"__r{i}")
+            scored = own.transform(scored).withColumn(f"__q{i}", vector_to_array(f"__q{i}")[1]).drop(f"__p{i}", f"__r{i}")
+            parts.append(f"__q{i}")
+        total = sum((F.col(c) for c in parts[1:]), F.col(parts[0]))
+        even = F.lit(1.0 / len(parts))
+        shares = F.array(*[F.when(total > 0, F.col(c) / total).otherwise(even) for c in parts])
+        return scored.withColumn("probability", shares).drop(*parts, FEATURES, KEY)
+
     def evaluate(self, df: DataFrame, metrics: Sequence[str] | None = None) -> dict[str, float]:
         labelled = _assembled(df, self.features, self._target_column(df), self.key)
         found = {r["metric"]: r["value"] for r in evaluation(_score(self.model, labelled, self.kind), LABEL, "prediction", self.task).collect()}

@@ -437,3 +437,24 @@ def test_caps_are_gone_or_raise(spark):
     with pytest.raises(ValueError):
         models.checked_params("decisiontree", "regression", {"max_depth": 80})
     assert models.checked_params("decisiontree", "regression", {})["max_depth"] == 30
+
+
+def test_boosting_gives_probabilities_for_three_classes(spark):
+    from tableloom.operators import models
+
+    rows = [(i, float(i % 3), float((i * 7) % 5), "abc"[i % 3]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, x double, z double, kind string")
+    found = models.train(df, "gradientboosting", "classification", "id", "kind", ["x", "z"], {"n_estimators": 10})
+    out = found.probabilities(df).select("id", "kind", "probability").collect()
+    assert all(len(r.probability) == 3 and abs(sum(r.probability) - 1) < 1e-9 for r in out)
+    assert sum(found.labels[max(range(3), key=lambda k: r.probability[k])] == r.kind for r in out) >= 85
+
+
+def test_keep_first_without_an_order_is_determined(spark):
+    from tableloom.operators.clean import drop_duplicates
+
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (1, "a", 3), (2, "z", 0)], "k int, s string, n int")
+    for parts in (1, 4):
+        got = sorted(map(tuple, drop_duplicates(df.repartition(parts), ["k"]).collect()))
+        assert got == [(1, "a", 3), (2, "z", 0)]
+        assert sorted(map(tuple, drop_duplicates(df.repartition(parts), ["k"], "last").collect())) == [(1, "b", 2), (2, "z", 0)]
