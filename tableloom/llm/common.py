@@ -29,7 +29,7 @@ def id_remainder(key: Column, modulus: int) -> Column:
 class Cache(dict):
     """Remembers what ``make`` gives for a key; starts afresh once it holds ``limit`` keys, so memory is bounded."""
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    def __init__(self, make: Callable, limit: int = 200_000):
         super().__init__()
         self.make, self.limit = make, limit
 

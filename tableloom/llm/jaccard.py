@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, key: str, text: str, percent: int, width: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
-        for batch in batches:
+        for batch in _slices(batches):
             n, needed, marks, halves, prefixes = [], [], [], [], []
             for value in batch.column(1).to_pylist():
                 own = shingles(value)
@@ -153,6 +153,13 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "own", "other", "how"]).astype({"bucket": "int64"})
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_048) -> Iterator[pa.RecordBatch]:
+    """Batches of texts in parts, so few sets are held at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _joined(group: pd.DataFrame, column: str, kind: type = np.int64) -> np.ndarray:
     return np.frombuffer(b"".join(group[column]), kind)
 
@@ -218,7 +225,7 @@ def rare_edges(texts: DataFrame, buckets: int, percent: int, width: int) -> Data
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
-        for batch in batches:
+        for batch in _slices(batches):
             held = {}
             for node, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 own = shingles(text)

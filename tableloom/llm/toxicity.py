@@ -65,7 +65,7 @@ class ToxicityModel:
         """Function from a text to its score between 0 and 1."""
         weights = self.weights
         hits = Cache(
-            lambda chunk: frozenset(h for w in words_of(chunk) for h in word_features(w) if h in weights), 400_000
+            lambda chunk: frozenset(h for w in words_of(chunk) for h in word_features(w) if h in weights), 200_000
         )
 
         def score(text: str | None) -> float:
