@@ -136,7 +136,6 @@ class FeatureScalerModel(FittedStep):
         return spark.createDataFrame(rows, "column string, parameter string, value double")
 
 
-ERFC = np.frompyfunc(math.erfc, 1, 1)
 #: Coefficients of algorithm AS 241 (Wichura, 1988), constant term first; its outermost range is not needed.
 MIDDLE = (
     (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
@@ -185,7 +184,8 @@ def _from_normal(values: list[float], grid: list[float]):
         v = z.to_numpy(dtype=float)
         ok = ~np.isnan(v)
         out = np.full(len(v), np.nan)
-        p = 0.5 * ERFC(-v[ok] / math.sqrt(2)).astype(float)
+        erfc = np.frompyfunc(math.erfc, 1, 1)
+        p = 0.5 * erfc(-v[ok] / math.sqrt(2)).astype(float)
         # clipped tails stand for the least and greatest value
         p = np.where(p < TAIL * 1.01, 0.0, np.where(p > 1 - TAIL * 1.01, 1.0, p))
         out[ok] = np.interp(p, grid, values)
