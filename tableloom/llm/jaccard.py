@@ -37,7 +37,7 @@ from tableloom.session import materialise
 BROADCAST_BYTES = 32 * 1024 * 1024
 #: Part of a set, beyond what the threshold asks for, that goes into its prefix.
 EXTRA = 0.1
-#: Sizes are cut into ranges by this ratio; two steps of it are at most 1 / threshold for 0.8.
+#: Children of a node, and documents of a leaf, of a signature tree.
 FAN, LEAF = 8, 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
