@@ -38,7 +38,7 @@ def test_copies_ties_and_odd_rows(spark, blocks):
     rows = {i: rng.integers(-3, 4, 6).astype(float) for i in range(120)}
     rows |= {i: rows[1] for i in range(200, 260)}  # many copies
     rows |= {300: np.ones(4), 301: np.arange(4.0), 320: np.array([2.0, 0, 0, 1])}  # another length
-    bad = [(400, None), (420, [0.0] * 6), (440, [1.0, None, 0, 0, 0, 0]), (460, [float("nan")] * 6),
+    bad = [(400, None), (420, [0.0] * 6), (440, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (460, [float("nan")] * 6),
            (480, [float("inf")] + [1.0] * 5), (None, [1.0] * 6), (500, [])]
     data = [(i, [float(v) for v in x], "t") for i, x in rows.items() if np.any(x)] + [(*b, "t") for b in bad]
     data += data[:5]  # repeated rows
