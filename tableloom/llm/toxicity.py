@@ -1,7 +1,8 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
-Features are hashed: every distinct word of a text and its first 4, 5 and 6 letters. Those that mark toxic texts by a
-likelihood-ratio test are kept, and a logistic regression weighs them. Labelled texts that mention groups of people are
+Features are hashed: every distinct word of a text and its first 4, 5 and 6 letters. Those that are commoner in toxic
+texts are ranked by likelihood ratio and the best weighed by a logistic regression, whose ridge is looser the more
+evidence a feature has; no least evidence is asked for, so few labels teach as well. Labelled texts that mention groups of people are
 read a second time with the identity terms swapped for others of their kind; a change of score between both readings is
 penalised, so a neutral mention of a group does not raise the score.
 """
@@ -82,11 +83,12 @@ def fit(
     penalty: float = 1.0,
     ridge: float = 1e-4,
     steps: int = 400,
+    evidence: Sequence[float] | None = None,
 ) -> ToxicityModel:
     """Logistic regression on (label, features, features of each swapped reading), both classes weighing the same.
 
     Minimises the log loss plus ``penalty`` times the mean squared change of the raw score under swaps plus a ridge,
-    by Adam over all rows.
+    by Adam over all rows. With ``evidence``, a feature's ridge is divided by its evidence as a share of the largest.
     """
     y = np.array([r[0] for r in rows], dtype=float)
     if not len(y) or y.min() == y.max() or not len(features):
@@ -103,9 +105,10 @@ def fit(
     swap_row, swap_col = sparse([s for r in rows for s in r[2]])
     origin_at = np.array(origin, dtype=np.int64)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    scale = np.ones(len(features)) if evidence is None else np.sqrt(np.array(evidence) / max(evidence))
     theta, first, second = np.zeros(len(features) + 1), 0.0, 0.0
     for step in range(1, steps + 1):
-        w, b = theta[:-1], theta[-1]
+        w, b = scale * theta[:-1], theta[-1]
         z = b + np.bincount(row, w[col], len(y))
         g = weight * (1 / (1 + np.exp(-z)) - y)
         if len(origin):
@@ -115,11 +118,11 @@ def fit(
             grad = np.bincount(col, g_all[row], len(features)) - np.bincount(swap_col, pull[swap_row], len(features))
         else:
             grad = np.bincount(col, g[row], len(features))
-        total = np.append(grad + 2 * ridge * w, g.sum())
+        total = np.append(scale * grad + 2 * ridge * theta[:-1], g.sum())
         first = 0.9 * first + 0.1 * total
         second = 0.999 * second + 0.001 * total**2
         theta = theta - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
-    return ToxicityModel({f: float(theta[i]) for f, i in place.items()}, float(theta[-1]))
+    return ToxicityModel({f: float(scale[i] * theta[i]) for f, i in place.items()}, float(theta[-1]))
 
 
 def train(
@@ -131,7 +134,6 @@ def train(
     usable: Column | None = None,
     max_rows: int = 10_000,
     max_features: int = 4_096,
-    least_evidence: float = 20.0,
     identity_terms: Sequence[Sequence[str]] = IDENTITY_TERMS,
     penalty: float = 1.0,
 ) -> ToxicityModel:
@@ -182,17 +184,22 @@ def train(
         return F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
 
     evidence = part(a, p) + part(b, n)
-    best = (
+    counts = materialise(
         rows.select("y", F.explode("own").alias("f"))
         .groupBy("f")
         .agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
-        .filter((a / p > b / n) & (evidence >= least_evidence))
-        .orderBy(evidence.desc(), "f")
-        .limit(max_features)
-        .select("f")
-        .collect()
+        .filter(a / p > b / n)
+        .select("f", evidence.alias("e"))
     )
-    features = sorted(r["f"] for r in best)
+    # a histogram first, so that tasks do not each hand over max_features rows
+    seen, least = 0, 0
+    for bin_, size in sorted(map(tuple, counts.groupBy(F.floor("e")).count().collect()), reverse=True):
+        seen, least = seen + size, bin_
+        if seen >= max_features:
+            break
+    best = counts.filter(F.col("e") >= least).orderBy(F.col("e").desc(), "f").limit(max_features).collect()
+    strength = dict(sorted((r["f"], r["e"]) for r in best))
+    features = list(strength)
     mine = F.array(*map(F.lit, features)).cast("array<int>")
     kept = rows.select(
         "y",
@@ -200,7 +207,7 @@ def train(
         F.transform("swapped", lambda s: F.array_sort(F.array_intersect(s, mine))).alias("swapped"),
     ).collect()
     ordered = sorted((r["y"], tuple(r["own"]), tuple(map(tuple, r["swapped"]))) for r in kept)
-    return fit(ordered, features, penalty)
+    return fit(ordered, features, penalty, evidence=list(strength.values()))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", to: str = "score") -> DataFrame:

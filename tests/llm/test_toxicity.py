@@ -20,6 +20,18 @@ def test_held_out_documents(spark):
     assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic)  # some labels there have no toxic word
 
 
+@pytest.mark.parametrize("size,least", [("sf0.001", 0.2), ("sf0.01", 0.7)])
+def test_few_labels_teach_too(spark, size, least):
+    sf = f"/root/testdata/{size}"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in op6_toxicity(spark, sf).collect() if r.doc_id in labels]
+    for held_out, share in ((True, least), (False, 0.9)):
+        part = [r for r in rows if r.held_out == held_out]
+        toxic = [r.predicted for r in part if labels[r.doc_id]]
+        assert sum(toxic) >= share * len(toxic), (held_out, sum(toxic), len(toxic))
+        assert sum(r.predicted for r in part if not labels[r.doc_id]) <= 0.01 * len(part)
+
+
 def biased(seed=1, n=600):
     """Toxic texts often name one group, clean texts seldom do."""
     rng = random.Random(seed)
