@@ -3,7 +3,8 @@
 Every page scores its containers by the running text inside them. A container's path – its tags with their classes,
 digits generalised – is voted on per host in Spark: pages of one host share a template, so the path that wins most of
 the score over all pages is the template's article, also where a single page would mislead. The pages are then read
-again along the winning path of their host; a page that has no such container falls back to its own best one.
+again along the winning path of their host; a page that has no such container falls back to its own best one. What is
+chosen is then widened to the containers around it while these add little text besides, such as a heading or a lead.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ STACKED = CONTAINERS | LEFT_OUT | frozenset(
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
           "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
 DIGITS = re.compile(r"\d+")
+#: Not widened to: the whole page.
+WHOLE = frozenset(("", "body", "html"))
 KINDS = {"": 0.5, "article": 1.3, "main": 1.15, "body": 0.8, "html": 0.6}
 
 
@@ -78,15 +81,16 @@ def attributes(text: str) -> tuple[tuple[str, ...], bool]:
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "order", "depth", "chars", "linked")
+    __slots__ = ("tag", "path", "skip", "order", "depth", "up", "chars", "linked")
 
-    def __init__(self, tag: str, path: str, skip: bool, order: int, depth: int):
-        self.tag, self.path, self.skip, self.order, self.depth = tag, path, skip, order, depth
+    def __init__(self, tag: str, path: str, skip: bool, order: int, depth: int, up: int = -1):
+        self.tag, self.path, self.skip, self.order, self.depth, self.up = tag, path, skip, order, depth, up
         self.chars = self.linked = 0
 
 
-def read(page: str) -> tuple[list[Node], list[tuple[str, tuple[int, ...]]]]:
-    """The page's containers and its blocks: text with the numbers of the containers around it; furniture left out."""
+def read(page: str) -> tuple[list[Node], list[tuple[str, tuple[int, ...], bool]]]:
+    """The page's containers and its blocks: text with the numbers of the containers around it, and whether it is an
+    item of a list of links; furniture left out."""
     root = Node("", "", False, 0, 0)
     containers, blocks, stack = [root], [], [root]
     run: list[str] = []
@@ -98,7 +102,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[str, tuple[int, ...]]]]:
         run.clear()
         if text and not stack[-1].skip:
             around = tuple(n.order for n in stack if n.order >= 0)
-            blocks.append((text, around))
+            blocks.append((text, around, 2 * linked >= len(text) and any(n.tag == "li" for n in stack)))
             for order in around:
                 containers[order].chars += len(text)
                 containers[order].linked += min(linked, len(text))
@@ -142,7 +146,8 @@ def read(page: str) -> tuple[list[Node], list[tuple[str, tuple[int, ...]]]]:
         skip = top.skip or tag in LEFT_OUT or (furniture and tag not in ("html", "body", "article", "main"))
         if tag in CONTAINERS and not skip:
             path = f"{top.path}/{'.'.join((tag, *classes))}"
-            node = Node(tag, path, False, len(containers), top.depth + 1)
+            up = next(n.order for n in reversed(stack) if n.order >= 0)
+            node = Node(tag, path, False, len(containers), top.depth + 1, up)
             containers.append(node)
         else:
             node = Node(tag, top.path, skip, -1, top.depth)
@@ -171,14 +176,32 @@ def votes(page: str | None) -> dict[str, float]:
 
 
 def extract(page: str | None, path: str | None) -> str:
-    """Text of the containers at ``path``, or of the page's own best one where they hold less than half of its score."""
+    """Text of the containers at ``path``, or of the page's own best one where they hold less than half of its score or
+    lie inside it; and of the containers around while these add at most half as much, lists of links apart."""
     containers, blocks = read(page or "")
     own = scores(containers)
     best = max(range(len(own)), key=lambda i: (own[i], -i))
     wanted = {n.order for n in containers if path is not None and n.path == path}
-    if not wanted or sum(own[i] for i in wanted) < own[best] / 2:
+    if not wanted or sum(own[i] for i in wanted) < own[best] / 2 or all(inside(containers, i, best) for i in wanted):
         wanted = {best}
-    return "\n".join(text for text, around in blocks if not wanted.isdisjoint(around))
+    taken = {k for k, (_, around, _) in enumerate(blocks) if not wanted.isdisjoint(around)}
+    at = containers[min(wanted)].up
+    while at >= 0 and containers[at].tag not in WHOLE and all(inside(containers, i, at) for i in wanted):
+        size = sum(len(blocks[k][0]) for k in taken)
+        if containers[at].chars > size:
+            more = {k for k, (_, around, listed) in enumerate(blocks) if at in around and not listed} - taken
+            if 2 * sum(len(blocks[k][0]) for k in more) > size:
+                break
+            taken |= more
+        at = containers[at].up
+    return "\n".join(blocks[k][0] for k in sorted(taken))
+
+
+def inside(containers: list[Node], one: int, other: int) -> bool:
+    """Whether container ``one`` is ``other`` or lies in it."""
+    while one > other:  # containers are numbered from the outside in
+        one = containers[one].up
+    return one == other
 
 
 def host_of(url: Column) -> Column:

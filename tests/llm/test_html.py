@@ -52,6 +52,26 @@ def test_hosts_agree_on_their_path(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+LONG = "<p>" + "running text of the article " * 220 + "</p>"
+
+
+@pytest.mark.parametrize("beside", [
+    "<h1>A heading of fifty characters over the long text</h1>", "<p>By a writer</p>",
+    "<p>" + "<a href=x>See the earlier report on this</a> " * 8 + "</p>",
+])
+def test_heading_and_lead_stay_on_long_pages(beside):
+    page = f"<body><div class=post>{beside}<div class=text>{LONG}</div><ul><li><a href=y>Other</a></ul></div>"
+    lines = [" ".join(re.sub("<[^>]*>", "", t).split()) for t in (beside, LONG)]
+    assert of(page) == "\n".join(lines)
+    assert html.extract(page, "/body/div.post/div.text") == "\n".join(lines)
+
+
+def test_host_path_does_not_cut_an_article():
+    page = "<body><div class=post><div class=text><p>" + "one " * 500 + "</div><div class=more><p>" + "two " * 450 + "</div></div>"
+    found = html.extract(page, "/body/div.post/div.text")
+    assert found.count("one") == 500 and found.count("two") == 450
+
+
 def test_long_page():
     page = "<body><article>" + "<p>word " * 30_000 + "</article>" + "<div>" * 5_000
     assert of(page) == "\n".join(["word"] * 30_000)
