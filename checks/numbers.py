@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.data import DATED, GAPS, Source, near, rounded, rounded_columns, table
+from tableloom.functions.keyed import rows_before
 from tableloom.operators import features, transform
 from tableloom.operators.scale import FeatureScaler
 
@@ -38,8 +38,10 @@ def f5(spark, sf):
     """Place of every row by its normal score, and the score of the ends; exact scores are tested on their own."""
     df = BALANCES.df(spark, sf).select("c_custkey", "bal")
     out = FeatureScaler(method="quantile", columns=["bal"]).fit(df).transform(df).filter("bal IS NOT NULL")
-    place = F.rank().over(Window.orderBy("bal")).cast("bigint")
+    placed = rows_before(out.groupBy("bal").agg(F.count(F.lit(1)).alias("n")), [F.col("bal")], "n", "before")
+    place = (F.col("before") + 1).cast("bigint")
     ends = F.when(F.abs("bal") > 5, rounded(F.col("bal"), 3))
+    out = out.join(placed.select("bal", "before"), "bal")
     return out.select("c_custkey", place.alias("place"), ends.alias("end_score"))
 
 
