@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import bpe, html, jaccard, language, lines, mixing, nearest, quality, toxicity, urls
+from tableloom.llm import bpe, html, jaccard, language, lines, mixing, nearest, packing, quality, toxicity, urls
 from tableloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,13 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=None))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lines": op1_lines,
     "op2_jaccard": op2_jaccard,
@@ -108,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
     "op10_nearest": op10_nearest,
+    "op12_packing": op12_packing,
 }
 
 SQL: dict[str, str] = {
