@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import bpe, html, jaccard, language, lines, mixing, nearest, packing, quality, toxicity, urls
+from tableloom.llm import bpe, html, jaccard, language, lines, mixing, nearest, packing, quality, toxicity, urls, whitening
 from tableloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,11 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=None))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return whitening.whiten(rows, whitening.fit(rows, limit=16)).withColumnRenamed("key", "vec_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_lines": op1_lines,
     "op2_jaccard": op2_jaccard,
@@ -116,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_nearest": op10_nearest,
     "op12_packing": op12_packing,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
