@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import bpe, html, jaccard, language, lines, mixing, nearest, packing, quality, toxicity, urls, whitening
+from tableloom.llm import bpe, conversations, html, jaccard, language, lines, mixing, nearest, packing, quality, toxicity, urls, whitening
 from tableloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repair_all(rows).withColumnRenamed("key", "conv_id")
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -120,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
     "op10_nearest": op10_nearest,
+    "op11_conversations": op11_conversations,
     "op12_packing": op12_packing,
     "op13_whitening": op13_whitening,
 }
