@@ -132,6 +132,60 @@ def test_neighbours_within_groups(spark):
             assert got[i, k] == j
 
 
+def clustered(n=3000, d=64, centres=30, seed=6):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(centres, d))[rng.integers(0, centres, n)] * 3 + rng.normal(size=(n, d)) * 0.3
+
+
+def test_tree_prunes_in_many_dimensions_and_blocks_stay_in_place(spark):
+    from tableloom.functions import knn
+
+    x = clustered()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<double>")
+    offered = df.select(F.lit("").alias("cell"), F.col("id").alias("candidate_id"), "vector")
+    asked = df.select(F.lit("").alias("cell"), F.col("id").alias("query_id"), "vector")
+    search = knn.Search(6, "euclidean", 2.0, 100)
+    layout = knn.lay_out(offered, search, False)
+    leaves = sum(len(b) for b in layout.boxes.values())
+    assert leaves >= 30
+    kind = knn._placed(offered, "candidate_id", True)
+    blocks = offered.mapInArrow(knn._placing(layout, "candidate_id", True), kind)
+    assert blocks.count() == len(x)  # every candidate is in one block
+    assert blocks.groupBy("cell", "leaf", "part").count().agg(F.max("count")).first()[0] <= 2 * search.block_rows
+    home = asked.mapInArrow(knn._placing(layout, "query_id", True), knn._placed(asked, "query_id", True))
+    first = knn.stream(home.withColumn("bound", F.lit(float("inf"))), blocks, search)
+    further = first.mapInArrow(knn._routing(layout, search), knn._routed_schema(asked)).count()
+    assert further < 0.2 * len(x) * leaves
+    near = knn_join(df, df, 5, query_id="id", candidate_id="id", exclude_same=True, block_rows=100)
+    got = {(r["query_id"], r["rank"]): r["candidate_id"] for r in near.collect()}
+    d = (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1)[:, :5]
+    assert all(got[i, k + 1] == want[i, k] for i in range(len(x)) for k in range(5))
+
+
+def test_large_groups_get_trees_of_their_own(spark):
+    x = clustered(900, 16, 9)
+    rows = [(i, "hot" if i < 700 else f"g{i % 20}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, g string, vector array<double>")
+    near = knn_join(df, df, 3, query_id="id", candidate_id="id", exclude_same=True, within="g", block_rows=60)
+    got = {(r["query_id"], r["rank"]): r["candidate_id"] for r in near.collect()}
+    groups = np.array([r[1] for r in rows])
+    for i in range(0, 900, 7):
+        same = [j for j in np.flatnonzero(groups == groups[i]) if j != i]
+        want = sorted(same, key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:3]
+        assert [got[i, k] for k in range(1, len(want) + 1)] == want
+
+
+def test_busy_blocks_are_copied_for_long_streams_only(spark, monkeypatch):
+    from tableloom.functions import knn
+
+    monkeypatch.setattr(knn, "STREAM_ROWS", 50)
+    df = spark.createDataFrame([(i, [float(i), float(i * i % 17)]) for i in range(120)], "id int, vector array<double>")
+    near = knn_join(df, df, 1, query_id="id", candidate_id="id")
+    assert near.filter("query_id = candidate_id AND distance = 0").count() == 120
+
+
 def test_moments_per_class(spark):
     rng = np.random.default_rng(4)
     frame = pd.DataFrame(rng.normal(5, 2, size=(200, 3)), columns=list("abc"))
