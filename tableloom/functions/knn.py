@@ -82,13 +82,29 @@ def knn_join(
 
 
 def _side(df: DataFrame, key: str, name: str, vector: str, within: str | None, metric: str) -> DataFrame:
-    values = F.col(vector).cast("array<double>")
-    if metric == "cosine":
-        norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, v: s + v * v))
-        values = F.transform(values, lambda v: F.try_divide(v, norm))
     cell = F.col(within).cast("string") if within else F.lit("")
-    side = df.select(cell.alias("cell"), F.col(key).alias(name), values.alias("vector"))
-    return side.filter(F.col("cell").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda v: v.isNull()))
+    side = df.select(cell.alias("cell"), F.col(key).alias(name), F.col(vector).cast("array<double>").alias("vector"))
+    side = side.filter(F.col("cell").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda v: v.isNull()))
+    return side.mapInArrow(_unit_rows(name), side.schema) if metric == "cosine" else side
+
+
+def _unit_rows(name: str) -> Callable:
+    """Vectors divided by their lengths; those of length zero have no direction and go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = batch.column(2).flatten(), batch.column(2).offsets.to_numpy()
+            x, starts = flat.to_numpy(zero_copy_only=False), offsets - offsets[:1]
+            sizes = np.diff(starts)
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            length = np.sqrt(np.bincount(rows, weights=x * x, minlength=len(sizes)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                unit = x / length[rows]
+            made = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(unit))
+            whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["cell", name, "vector"])
+            yield whole.filter(pa.array(length != 0))
+
+    return run
 
 
 # -- the tree ---------------------------------------------------------------------
