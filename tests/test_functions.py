@@ -227,7 +227,6 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
 def test_keys_are_hot_by_their_rows(spark, monkeypatch):
     from tableloom.functions import keyed
-    from tableloom.operators.retrieve import lexical_index
 
     monkeypatch.setattr(keyed, "TASK_ROWS", 100)
     # one key with 0.3 % of the rows, more than a task may hold; the others with fewer than a task's rows
@@ -241,5 +240,5 @@ def test_keys_are_hot_by_their_rows(spark, monkeypatch):
         assert sorted(r.code for r in joined.collect()) == [1] * 300 + [2] * 5
         salts = keyed.with_salts(df, F.col("k"), hot, "tasks").groupBy("k").agg(F.max("tasks").alias("t")).collect()
         assert {r.k: r.t for r in salts} == {"warm": 3, "cold": 1}
-    chunks = spark.createDataFrame([(str(i), f"common word{i}") for i in range(250)], "chunk_id string, content string")
-    assert lexical_index(chunks).hot == {"common": 3}
+    words = spark.createDataFrame([("common",)] * 250 + [(f"word{i}",) for i in range(250)], "term string")
+    assert keyed.hot_keys(words.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term", "n") == {"common": 3}

@@ -396,6 +396,72 @@ def test_bm25_joins_few_chunks(spark):
     assert len([r for r in got if r.query_id == "q2"]) == 3 and not [r for r in got if r.query_id == "q3"]
 
 
+def scored(docs, question, k):
+    """BM25 by its formula."""
+    import math
+
+    split = {i: d.split() for i, d in docs.items()}
+    mean = sum(map(len, split.values())) / len(split)
+    found = {}
+    for i, words in split.items():
+        total = 0.0
+        for term in question.split():
+            df, tf = sum(term in w for w in split.values()), words.count(term)
+            if tf:
+                total += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+        if total:
+            found[i] = round(total, 9)
+    return sorted(found.items(), key=lambda p: (-p[1], p[0]))[:k]
+
+
+def test_block_max_leaves_blocks_closed(spark, monkeypatch):
+    from tableloom.operators import retrieve
+
+    monkeypatch.setattr(retrieve, "SHARD_CHUNKS", 400)
+    monkeypatch.setattr(retrieve, "BLOCK_CHUNKS", 16)
+    monkeypatch.setattr(retrieve, "SLICE_ROWS", 7)
+    rng = np.random.default_rng(12)
+    docs = {f"{i:04d}": " ".join(["common"] * int(rng.integers(1, 3)) + [f"w{j}" for j in rng.integers(0, 300, 12)]) for i in range(1200)}
+    docs["0007"] += " rare"
+    chunks = spark.createDataFrame(list(docs.items()), "chunk_id string, content string")
+    asked = {i: f"common w{i} w{i + 1}" for i in range(12)} | {100: "rare common", 101: "common common w5", 102: "absent"}
+    index = retrieve.lexical_index(chunks)
+    assert index.shards.count() == 3
+    visited = spark.sparkContext.accumulator(0)
+    queries = spark.createDataFrame(list(asked.items()), "query_id int, text string")
+    got: dict = {}
+    for r in retrieve.bm25_top_k(queries, index, 5, visited=visited).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+    for q, text in asked.items():
+        want = scored(docs, text, 5)
+        assert [c for c, _ in got.get(q, [])] == [c for c, _ in want]
+    words = [set(d.split()) for d in docs.values()]
+    every = sum(sum(t in w for w in words) for text in asked.values() for t in set(text.split()))
+    assert 0 < visited.value < 0.5 * every, (visited.value, every)
+
+
+def test_stored_index_masks_replaced_documents(spark, tmp_path):
+    from tableloom.operators import retrieve
+
+    def frame(rows):
+        return spark.createDataFrame(rows, "chunk_id string, document_id string, content string")
+
+    stored = retrieve.StoredIndex(spark, str(tmp_path / "index"))
+    stored.create(frame([(f"{d}:{i}", d, f"alpha {d} text {i}") for d in "abc" for i in range(3)]))
+    stored.replace(frame([("b:0", "b", "beta alpha alpha")]), spark.createDataFrame([("c",)], "document_id string"))
+    # a write that did not end: shards without listed documents
+    retrieve._packed(frame([("z:0", "z", "alpha zeta")])).drop("dead").withColumn("generation", F.lit(2).cast("bigint")).write.mode("append").parquet(str(tmp_path / "index/shards"))
+    docs = {f"a:{i}": f"alpha a text {i}" for i in range(3)} | {"b:0": "beta alpha alpha"}
+    index = stored.open()
+    assert index.n_chunks == 4 and {r.term: r.df for r in index.terms.collect()}["alpha"] == 4
+    assert "zeta" not in {r.term for r in index.terms.collect()}
+    queries = spark.createDataFrame([(1, "alpha text"), (2, "beta")], "query_id int, text string")
+    got: dict = {}
+    for r in retrieve.bm25_top_k(queries, index, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got == {1: [c for c, _ in scored(docs, "alpha text", 3)], 2: ["b:0"]}
+
+
 def test_a_failing_detector_leaves_the_others(spark, monkeypatch):
     from tableloom.operators import detect
     from tableloom.plans.prepare import create
