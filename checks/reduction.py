@@ -18,16 +18,28 @@ LINES = Source(
     "CAST(1 AS DOUBLE) AS flat", "l_returnflag",
 )
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "flat"]
-DIMS = 8
-VECTORS = Source(
-    "embeddings", "vec_id", "label",
-    *[f"CAST(embedding[{{0}}] AS DOUBLE) AS v{i}".replace("{0}", str(i)) for i in range(DIMS)],
-)
+DIMS = 64
+VECTORS = Source("embeddings", "vec_id", "label", *[f"CAST(embedding[{i}] AS DOUBLE) AS v{i}" for i in range(DIMS)])
 # list positions start at 0 in Spark and at 1 in DuckDB
-VECTORS.sql = VECTORS.sql.replace("embedding[7]", "embedding[8]")
-for _i in range(6, -1, -1):
-    VECTORS.sql = VECTORS.sql.replace(f"embedding[{_i}]", f"embedding[{_i + 1}]")
+VECTORS.sql = f"(SELECT vec_id, label, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS v{i}' for i in range(DIMS))} FROM embeddings)"
 AXES = [f"v{i}" for i in range(DIMS)]
+#: Both halves of each vector added up: two columns that read all entries and have a closed form.
+HALVES = Source("embeddings", "vec_id", "label", *[
+    f"{' + '.join(f'CAST(embedding[{i}] AS DOUBLE)' for i in part)} AS {name}"
+    for name, part in (("low", range(32)), ("high", range(32, 64)))
+])
+HALVES.sql = "(SELECT vec_id, label, " + ", ".join(
+    f"{' + '.join(f'CAST(embedding[{i + 1}] AS DOUBLE)' for i in part)} AS {name}"
+    for name, part in (("low", range(32)), ("high", range(32, 64)))
+) + " FROM embeddings)"
+#: The squared covariance matrix added up: what the squares of all eigenvalues add up to.
+SQUARES_SQL = f"""
+    WITH t AS (SELECT * FROM {VECTORS.sql} x), m AS (SELECT {', '.join(f'avg(v{i}) AS m{i}' for i in range(DIMS))} FROM t),
+         c AS (SELECT vec_id, [{', '.join(f'v{i} - m{i}' for i in range(DIMS))}] AS y FROM t, m),
+         l AS (SELECT vec_id, unnest(y) AS y, generate_subscripts(y, 1) AS i FROM c),
+         s AS (SELECT a.i, b.i AS j, sum(a.y * b.y) / ((SELECT count(*) FROM t) - 1) AS v
+               FROM l a JOIN l b USING (vec_id) GROUP BY 1, 2)
+    SELECT sum(v * v) AS squares, sum(v) FILTER (i = j) AS trace, max(v) FILTER (i = j) AS widest FROM s"""
 ORDERS = ["o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate_year"]
 
 
@@ -91,67 +103,108 @@ def r5(spark, sf):
 
 
 def r6(spark, sf):
+    """All 64 components: uncorrelated, falling, with the trace and the squares of the covariance matrix, and each row
+    as far from the centre as before."""
     df = VECTORS.df(spark, sf)
-    model = PCAReducer(columns=AXES, n_components=3, target="label").fit(df)
-    out = model.transform(df)
-    # uncorrelated scores whose variances are the leading eigenvalues, whatever the sign
-    return out.agg(
-        F.count(F.lit(1)).alias("n"), *[rounded(F.avg(f"PC{i}"), 6).alias(f"mean{i}") for i in (1, 2, 3)],
-        *[rounded(F.corr(f"PC{a}", f"PC{b}"), 6).alias(f"corr{a}{b}") for a, b in ((1, 2), (1, 3), (2, 3))],
-        (F.var_samp("PC1") >= F.var_samp("PC2")).alias("ordered12"),
-        (F.var_samp("PC2") >= F.var_samp("PC3")).alias("ordered23"),
+    out = PCAReducer(columns=AXES, n_components=DIMS, target="label").fit(df).transform(df)
+    names = [f"PC{i}" for i in range(1, DIMS + 1)]
+    row = out.agg(
+        F.count(F.lit(1)).alias("n"), *[F.var_samp(c).alias(c) for c in names],
+        *[F.avg(c).alias(f"mean{c}") for c in names], *[F.corr(a, b).alias(f"with{b}") for a, b in zip(names, names[1:])],
+        F.corr(names[0], names[-1]).alias("ends"),
+    )
+    spread = [F.col(c) for c in names]
+    return row.select(
+        "n", rounded(sum(spread[1:], spread[0]), 9).alias("trace"),
+        rounded(sum((c * c for c in spread[1:]), spread[0] * spread[0]), 9).alias("squares"),
+        rounded(F.greatest(*[F.abs(f"mean{c}") for c in names]), 6).alias("off_centre"),
+        rounded(F.greatest(*[F.abs(f"with{c}") for c in names[1:]], F.abs("ends")), 6).alias("correlated"),
+        F.array_sort(F.array(*[-c for c in spread])).eqNullSafe(F.array(*[-c for c in spread])).alias("falling"),
     )
 
 
-R6_SQL = (
-    "SELECT count(*) AS n, "
-    + ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in ("mean1", "mean2", "mean3", "corr12", "corr13", "corr23"))
-    + ", true AS ordered12, true AS ordered23 FROM embeddings"
-)
+R6_SQL = f"""
+    SELECT (SELECT count(*) FROM embeddings) AS n, {near('trace', 9)} AS trace, {near('squares', 9)} AS squares,
+           CAST(0 AS DOUBLE) AS off_centre, CAST(0 AS DOUBLE) AS correlated, true AS falling FROM ({SQUARES_SQL})"""
+
+
+def r6_rows(spark, sf):
+    """Every row's squared distance from the centre over all components."""
+    df = VECTORS.df(spark, sf)
+    out = PCAReducer(columns=AXES, n_components=DIMS, target="label").fit(df).transform(df)
+    terms = [F.col(f"PC{i}") * F.col(f"PC{i}") for i in range(1, DIMS + 1)]
+    return out.select("vec_id", rounded(sum(terms[1:], terms[0]), 6).alias("distance"))
+
+
+R6_ROWS_SQL = f"""
+    WITH t AS (SELECT * FROM {VECTORS.sql} x), m AS (SELECT {', '.join(f'avg(v{i}) AS m{i}' for i in range(DIMS))} FROM t)
+    SELECT vec_id, {near(' + '.join(f'(v{i} - m{i}) * (v{i} - m{i})' for i in range(DIMS)))} AS distance FROM t, m"""
 
 
 def r6_plane(spark, sf):
     """Two columns have a closed form: the eigenvalues of a 2 x 2 covariance."""
-    df = VECTORS.df(spark, sf)
-    out = PCAReducer(columns=["v0", "v1"], n_components=2, target="label").fit(df).transform(df)
+    df = HALVES.df(spark, sf)
+    out = PCAReducer(columns=["low", "high"], n_components=2, target="label").fit(df).transform(df)
     return out.agg(rounded(F.var_samp("PC1"), 9).alias("first"), rounded(F.var_samp("PC2"), 9).alias("second"))
 
 
-R6_PLANE_SQL = f"""
-    WITH c AS (SELECT var_samp(v0) AS a, var_samp(v1) AS b, covar_samp(v0, v1) AS c FROM {VECTORS.sql} t)
-    SELECT {near('(a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c)', 9)} AS first,
-           {near('(a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c)', 9)} AS second FROM c"""
+PLANE = "WITH c AS (SELECT var_samp(low) AS a, var_samp(high) AS b, covar_samp(low, high) AS c FROM {0} t)"
+FIRST, SECOND = (f"(a + b) / 2 {sign} sqrt(pow((a - b) / 2, 2) + c * c)" for sign in "+-")
+R6_PLANE_SQL = f"{PLANE.format(HALVES.sql)} SELECT {near(FIRST, 9)} AS first, {near(SECOND, 9)} AS second FROM c"
 
 
 def r7(spark, sf):
-    df = VECTORS.df(spark, sf)
-    return rounded_columns(
-        PCAReducer(columns=["v0", "v1"], n_components=2, target="label").fit(df).explained_variance(spark),
-        ["ratio", "cumulative"],
+    """Shares of all 64 components: how many, their sum, the sum of their squares; and those of the two halves."""
+    df, halves = VECTORS.df(spark, sf), HALVES.df(spark, sf)
+    shares = PCAReducer(columns=AXES, n_components=DIMS, target="label").fit(df).explained_variance(spark)
+    whole = shares.agg(
+        F.lit("all").alias("component"), rounded(F.sum(F.col("ratio") * F.col("ratio")), 9).alias("ratio"),
+        rounded(F.max("cumulative"), 9).alias("cumulative"), F.count(F.lit(1)).alias("n"),
     )
+    two = PCAReducer(columns=["low", "high"], n_components=2, target="label").fit(halves).explained_variance(spark)
+    return whole.unionByName(rounded_columns(two, ["ratio", "cumulative"], 9).withColumn("n", F.lit(1).cast("bigint")))
 
 
 R7_SQL = f"""
-    WITH e AS ({R6_PLANE_SQL.replace(near('(a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c)', 9),
-                                    '(a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c)')
-                            .replace(near('(a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c)', 9),
-                                     '(a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c)')})
-    SELECT 'PC1' AS component, {near('first / (first + second)')} AS ratio,
-           {near('first / (first + second)')} AS cumulative FROM e
-    UNION ALL SELECT 'PC2', {near('second / (first + second)')}, CAST(1 AS DOUBLE) FROM e"""
+    WITH h AS ({PLANE.format(HALVES.sql)} SELECT {FIRST} AS first, {SECOND} AS second FROM c)
+    SELECT 'all' AS component, {near('squares / (trace * trace)', 9)} AS ratio, CAST(1 AS DOUBLE) AS cumulative, 64 AS n
+    FROM ({SQUARES_SQL})
+    UNION ALL SELECT 'PC1', {near('first / (first + second)', 9)}, {near('first / (first + second)', 9)}, 1 FROM h
+    UNION ALL SELECT 'PC2', {near('second / (first + second)', 9)}, CAST(1 AS DOUBLE), 1 FROM h"""
 
 
 def r8(spark, sf):
-    """Within-class spread of each direction is one, and directions are uncorrelated within classes."""
+    """All directions over all 64 axes: within-class spread of each is one, they are uncorrelated within classes, and no
+    single axis separates the classes better than the first (``best``: share of axes that do not)."""
     df = VECTORS.df(spark, sf)
-    out = LDAReducer(columns=AXES, n_components=2, target="label").fit(df).transform(df)
+    model = LDAReducer(columns=AXES, target="label").fit(df)
+    out = model.transform(df)
+    names = [c for c in out.columns if c.startswith("LD")]
+    pairs = list(combinations(names, 2))
+
+    def ratios(frame, columns):
+        """Spread between classes against that within."""
+        parts = frame.groupBy("label").agg(
+            F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.var_pop(c).alias(f"v_{c}") for c in columns]
+        )
+        within = [F.sum(F.col("n") * F.col(f"v_{c}")) for c in columns]
+        between = [F.sum(F.col("n") * F.col(f"m_{c}") * F.col(f"m_{c}")) - F.pow(F.sum(F.col("n") * F.col(f"m_{c}")), 2) / F.sum("n") for c in columns]
+        return parts.agg(*[(b / w).alias(c) for c, w, b in zip(columns, within, between)]).first()
+
+    axes, first = ratios(df, AXES), ratios(out, ["LD1"])["LD1"]
     classes = out.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop("LD1").alias("v1"), F.var_pop("LD2").alias("v2"),
-        F.covar_pop("LD1", "LD2").alias("c"),
+        F.count(F.lit(1)).alias("n"), *[F.var_pop(c).alias(c) for c in names],
+        *[F.covar_pop(a, b).alias(f"{a}_{b}") for a, b in pairs],
     )
     scale = F.sum("n") - F.count(F.lit(1))
+    spread = [F.sum(F.col("n") * F.col(c)) / scale for c in names]
+    crossed = [F.abs(F.sum(F.col("n") * F.col(f"{a}_{b}")) / scale) for a, b in pairs]
     return classes.agg(
-        F.sum("n").alias("n"), *[rounded(F.sum(F.col("n") * F.col(v)) / scale).alias(v) for v in ("v1", "v2", "c")]
+        F.sum("n").alias("n"), F.lit(len(names)).cast("bigint").alias("directions"),
+        rounded(F.least(*spread) if len(spread) > 1 else spread[0]).alias("least"),
+        rounded(F.greatest(*spread) if len(spread) > 1 else spread[0]).alias("largest"),
+        rounded(F.greatest(F.lit(0.0), *crossed) if crossed else F.lit(0.0)).alias("crossed"),
+        F.lit(sum(r <= first * (1 + 1e-9) for r in axes) / DIMS).alias("best"),
     )
 
 
@@ -253,16 +306,18 @@ V5_SQL = f"""
 
 
 def v6(spark, sf):
-    scores, _ = profile.pca_coordinates(VECTORS.df(spark, sf).drop("vec_id"), 2, ["v0", "v1"], "label")
+    """Coordinates on all 64 components lie as far from the centre as the rows did."""
+    scores, _ = profile.pca_coordinates(VECTORS.df(spark, sf).drop("vec_id"), DIMS, AXES, "label")
+    terms = [F.col(f"PC{i}") * F.col(f"PC{i}") for i in range(1, DIMS + 1)]
     return scores.groupBy(F.col("label").cast("bigint").alias("label")).agg(
-        F.count(F.lit(1)).alias("n"),
-        rounded(F.avg(F.col("PC1") * F.col("PC1") + F.col("PC2") * F.col("PC2")), 6).alias("spread"),
+        F.count(F.lit(1)).alias("n"), rounded(F.avg(sum(terms[1:], terms[0])), 6).alias("spread"),
     )
 
 
 V6_SQL = f"""
-    WITH t AS (SELECT * FROM {VECTORS.sql} x), m AS (SELECT avg(v0) AS a, avg(v1) AS b FROM t)
-    SELECT CAST(label AS BIGINT) AS label, count(*) AS n, {near('avg(pow(v0 - a, 2) + pow(v1 - b, 2))')} AS spread
+    WITH t AS (SELECT * FROM {VECTORS.sql} x), m AS (SELECT {', '.join(f'avg(v{i}) AS m{i}' for i in range(DIMS))} FROM t)
+    SELECT CAST(label AS BIGINT) AS label, count(*) AS n,
+           {near('avg(' + ' + '.join(f'(v{i} - m{i}) * (v{i} - m{i})' for i in range(DIMS)) + ')')} AS spread
     FROM t, m GROUP BY 1"""
 
 
@@ -318,10 +373,13 @@ CHECKS = {
         f"FROM {LINES.sql} t",
     ),
     "r6_pca": (r6, R6_SQL),
+    "r6_pca_rows": (r6_rows, R6_ROWS_SQL),
     "r6_pca_two_columns": (r6_plane, R6_PLANE_SQL),
     "r7_explained_variance": (r7, R7_SQL),
     "r8_discriminant_projection": (
-        r8, "SELECT count(*) AS n, CAST(1 AS DOUBLE) AS v1, CAST(1 AS DOUBLE) AS v2, CAST(0 AS DOUBLE) AS c FROM embeddings",
+        r8,
+        "SELECT count(*) AS n, count(DISTINCT label) - 1 AS directions, CAST(1 AS DOUBLE) AS least, "
+        "CAST(1 AS DOUBLE) AS largest, CAST(0 AS DOUBLE) AS crossed, CAST(1 AS DOUBLE) AS best FROM embeddings",
     ),
     "r9_category_codes": (
         r9,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.functions.columns import choose_columns, number, present, q
-from tableloom.functions.moments import moments
+from tableloom.functions.moments import scatter
 from tableloom.functions.stats import numeric_stats, quantiles, value_counts
 from tableloom.session import materialise
 
@@ -21,7 +21,6 @@ OUTLIER_THRESHOLD = 1.5
 CORRELATION_THRESHOLD = 0.8
 MAX_CATEGORIES = 50
 
-PAIRS_BY_EXPRESSION = 300
 
 # Rebalancing advice by class ratio (below, severity, methods by priority).
 ADVICE = (
@@ -128,23 +127,19 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     pairs = list(combinations(range(len(names)), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    if len(pairs) > PAIRS_BY_EXPRESSION:
-        matrix = moments(df, names)[None].correlation()
-        rows = [
-            (names[i], names[j], None if matrix[i, j] != matrix[i, j] else float(abs(matrix[i, j])))
-            for i, j in pairs
-        ]
-        return df.sparkSession.createDataFrame(rows, schema)
-    complete = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(names)]).na.drop()
-    row = complete.agg(*[F.abs(F.corr(f"c{i}", f"c{j}")).alias(f"r{i}_{j}") for i, j in pairs])
-    records = [
-        F.struct(
-            F.lit(names[i]).alias("column_a"), F.lit(names[j]).alias("column_b"),
-            F.col(f"r{i}_{j}").alias("correlation"),
-        )
-        for i, j in pairs
-    ]
-    return _unpivot(row, records, schema)
+    matrix = scatter(df, names)
+    if not matrix.counts:  # no complete row
+        return df.sparkSession.createDataFrame([(names[i], names[j], None) for i, j in pairs], schema)
+    listed = F.array(*[F.lit(n) for n in names])
+    cells = matrix.rows.select("i", F.posexplode("v").alias("at", "v"), (F.col("panel") * matrix.panel).alias("from"))
+    cells = cells.select("i", (F.col("at") + F.col("from")).alias("j"), "v").filter("j >= i")
+    own = cells.filter("i = j").select(F.col("i").alias("k"), F.sqrt("v").alias("s"))  # one row per column
+    rows, columns = own.toDF("i", "s_i"), own.toDF("j", "s_j")
+    found = cells.filter("j > i").join(F.broadcast(rows), "i").join(F.broadcast(columns), "j")
+    return found.select(
+        listed[F.col("i")].alias("column_a"), listed[F.col("j")].alias("column_b"),
+        F.abs(F.try_divide("v", F.col("s_i") * F.col("s_j"))).alias("correlation"),
+    )
 
 
 def cardinality(

@@ -1,32 +1,50 @@
-"""Linear projections. Only d x d numbers come to the driver; rows are projected by expressions."""
+"""Linear projections. The scatter matrix stays a table; directions are found by products with a few columns, and rows
+are projected by one matrix product per Arrow batch."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from typing import ClassVar
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.functions.columns import number
-from tableloom.functions.moments import moments, oriented, pooled
-from tableloom.operators.base import FittedStep, Step, appended
+from tableloom.functions.columns import number, q
+from tableloom.functions.moments import krylov, oriented, orthonormal, scatter
+from tableloom.operators.base import FittedStep, Step
 
 RIDGE = 1e-9
+#: An eigenpair is found once its residual is this small against the largest eigenvalue.
+RESIDUAL = 1e-13
+#: Columns beyond those asked for in the first block.
+SPARE = 8
 
 
 class _Projection(FittedStep):
     PREFIX = ""
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        names, centre = self.state["columns"], self.state["mean"]
-        centred = [number(df, c) - m for c, m in zip(names, centre)]
-        made: dict[str, Column] = {}
-        for j, weights in enumerate(self.state["components"], 1):
-            terms = [x * w for x, w in zip(centred, weights)]
-            made[f"{self.PREFIX}{j}"] = reduce(lambda a, b: a + b, terms)
-        return appended(df, names, made)
+        """Rows with a missing value have no coordinates."""
+        names = self.state["columns"]
+        mean, components = np.array(self.state["mean"]), np.array(self.state["components"]).T
+        made = [f"{self.PREFIX}{j}" for j in range(1, components.shape[1] + 1)]
+        others = [c for c in df.columns if c not in set(names) | set(made)]
+        short = [f"c{i}" for i in range(len(others) + len(made))]
+        chosen = df.select(*map(q, others), F.array(*[number(df, c) for c in names])).toDF(*short[: len(others)], "x")
+        kept = len(others)
+
+        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column(kept).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(mean))
+                scores = (x - mean) @ components  # missing values are NaN here
+                columns = [pa.array(np.ascontiguousarray(c), from_pandas=True) for c in scores.T]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), *columns], names=short)
+
+        fields = [f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
+        schema = ", ".join([*fields, *(f"{n} double" for n in short[kept:])])
+        return chosen.mapInArrow(project, schema).toDF(*others, *made)
 
     def explained_variance(self, spark: SparkSession) -> DataFrame:
         """``(component, ratio, cumulative)``."""
@@ -48,20 +66,33 @@ class PCAReducer(Step):
         names = self.pick(df, "numeric")
         if not names:
             raise ValueError("no numeric column to reduce")
-        found = moments(df, names).get(None)
-        if found is None:
+        matrix = scatter(df, names)
+        if not matrix.counts:
             raise ValueError("no complete row to learn from")
-        values, vectors = np.linalg.eigh(found.covariance())
-        order = np.argsort(values)[::-1]
-        values, vectors = values[order].clip(min=0.0), oriented(vectors[:, order])
-        ratios = values / values.sum() if values.sum() > 0 else np.zeros(len(values))
-        k = self.opt("n_components")
-        if k is None:
-            k = int(np.searchsorted(np.cumsum(ratios), self.opt("variance_ratio"), side="right")) + 1
-        k = max(1, min(k, len(names), max(found.n, 1)))
+        d, k, wanted = len(names), self.opt("n_components"), self.opt("variance_ratio")
+        if k is not None:
+            k = max(1, min(k, d, max(matrix.n, 1)))
+
+        def share(values: np.ndarray) -> np.ndarray:
+            return values.clip(min=0.0) / matrix.trace if matrix.trace > 0 else np.zeros(len(values))
+
+        def needed(values: np.ndarray) -> int:
+            """Components until the wanted share is passed; more than there are values if they do not pass it."""
+            return k if k is not None else int(np.searchsorted(np.cumsum(share(values)), wanted, side="right")) + 1
+
+        def enough(values, vectors, residuals) -> bool:
+            count = needed(values)
+            small = RESIDUAL * max(float(values.max(initial=0.0)), 0.0)
+            return count <= len(values) and bool((residuals[:count] <= small).all())
+
+        start = np.random.default_rng(0).standard_normal((d, min(d, (k or 1) + SPARE)))
+        basis, inner = krylov(matrix, start, enough, fill=True)
+        values, turned = np.linalg.eigh(inner)
+        values, vectors = values[::-1].clip(min=0.0), oriented((basis @ turned)[:, ::-1])
+        k = max(1, min(needed(values), len(values), max(matrix.n, 1)))
         return PCAReducerModel(self.options(), {
-            "columns": names, "mean": found.mean.tolist(),
-            "components": vectors[:, :k].T.tolist(), "ratios": ratios[:k].tolist(),
+            "columns": names, "mean": matrix.mean.tolist(),
+            "components": vectors[:, :k].T.tolist(), "ratios": share(values)[:k].tolist(),
         })
 
 
@@ -79,26 +110,43 @@ class LDAReducer(Step):
         if target is None:
             raise ValueError("discriminant projection needs a target column")
         names = self.pick(df, "numeric")
-        parts = moments(df, names, by=target)
-        if len(parts) < 2:
+        within = scatter(df, names, by=target)
+        classes, n = len(within.counts), within.n
+        if classes < 2:
             raise ValueError("discriminant projection needs at least two classes")
-        whole = pooled(parts)
-        within = sum(m.scatter for m in parts.values()) / max(whole.n - len(parts), 1)
-        between = sum(
-            m.n * np.outer(m.mean - whole.mean, m.mean - whole.mean) for m in parts.values()
-        ) / whole.n
-        # whiten by the within-class spread, then take the main axes of the class means
-        spread, axes = np.linalg.eigh(within)
-        usable = spread > RIDGE * max(spread.max(), RIDGE)
-        whiten = axes[:, usable] / np.sqrt(spread[usable])
-        values, vectors = np.linalg.eigh(whiten.T @ between @ whiten)
-        order = np.argsort(values)[::-1]
-        limit = min(len(parts) - 1, len(names), int(usable.sum()))
+        centre = within.mean
+        # a column per class: their products are the scatter between classes
+        between = np.array([np.sqrt(within.counts[c] / n) * (within.means[c] - centre) for c in sorted(within.counts)]).T
+        best: list[np.ndarray] = []
+
+        def solved(basis: np.ndarray, inner: np.ndarray):
+            """Main axes of the class means after whitening by the spread within classes, inside a space."""
+            spread, axes = np.linalg.eigh(inner / max(n - classes, 1))
+            usable = spread > RIDGE * max(spread.max(initial=0.0), RIDGE)
+            whiten = axes[:, usable] / np.sqrt(spread[usable])
+            pulled = whiten.T @ (basis.T @ between)
+            values, vectors = np.linalg.eigh(pulled @ pulled.T)
+            return values[::-1].clip(min=0.0), (basis @ (whiten @ vectors))[:, ::-1], int(usable.sum())
+
+        def enough(values, vectors, residuals) -> bool:
+            """The separations no longer change."""
+            found = solved(vectors, np.diag(values))[0][: classes - 1]
+            same = bool(best) and len(best[-1]) == len(found) and np.allclose(best[-1], found, rtol=1e-13, atol=0)
+            best.append(found)
+            return same
+
+        # the solution lies in the space that the class means span under repeated products with the matrix
+        start = orthonormal(between, None, max(float(np.abs(between).max()), 1e-300))
+        if not start.shape[1]:
+            start = np.eye(len(names), 1)
+        basis, inner = krylov(within, start, enough, fill=False)
+        values, directions, rank = solved(basis, inner)
+        limit = min(classes - 1, len(names), rank)
         k = min(self.opt("n_components") or limit, limit)
-        values, directions = values[order].clip(min=0.0), oriented((whiten @ vectors)[:, order])
+        directions = oriented(directions[:, :k])
         total = values[:limit].sum()
         return LDAReducerModel(self.options(), {
-            "columns": names, "mean": whole.mean.tolist(), "components": directions[:, :k].T.tolist(),
+            "columns": names, "mean": centre.tolist(), "components": directions.T.tolist(),
             "ratios": (values[:k] / total if total > 0 else values[:k]).tolist(), "target": target,
         })
 

@@ -179,6 +179,56 @@ def test_pca_against_numpy(spark):
     assert np.allclose(shares, want / want.sum()) and shares == sorted(shares, reverse=True)
 
 
+def test_leading_components_of_many_columns(spark):
+    from tableloom.functions.moments import krylov, scatter
+
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(400, 120)) * 0.9 ** np.arange(120)
+    names = [f"x{i}" for i in range(120)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=range(400)))
+    matrix = scatter(df, names, panel=50)  # three panels
+    centred = x - x.mean(axis=0)
+    assert np.allclose(matrix.times(np.eye(120)[:, :7]), (centred.T @ centred)[:, :7])
+    assert np.isclose(matrix.trace, (centred**2).sum())
+    grown: list[int] = []
+    krylov(matrix, rng.normal(size=(120, 6)), lambda v, y, r: grown.append(len(v)) or bool((r[:3] < 1e-8 * v[0]).all()), fill=True)
+    assert grown[-1] < 120  # far fewer columns than the matrix has
+    model = reduce.PCAReducer(columns=names, n_components=3).fit(df)
+    values_, vectors = np.linalg.eigh(centred.T @ centred)
+    for got, want in zip(np.array(model.state["components"]), vectors[:, ::-1].T):
+        assert np.isclose(abs(got @ want), 1, atol=1e-10)
+    share = values_[::-1] / values_.sum()
+    assert np.allclose(model.state["ratios"], share[:3])
+    kept = reduce.PCAReducer(columns=names, variance_ratio=0.8).fit(df).state["ratios"]
+    assert len(kept) == int(np.searchsorted(np.cumsum(share), 0.8, side="right")) + 1
+
+
+def test_projection_of_rows_with_gaps_and_flat_columns(spark):
+    rows = [(i, float(i % 7), 3.0, None if i == 4 else float(i * i % 11), f"s{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, a double, flat double, b double, `other.name` string")
+    model = reduce.PCAReducer(columns=["a", "flat", "b"], n_components=3).fit(df)
+    out = model.transform(df)
+    assert out.columns == ["id", "other.name", "PC1", "PC2", "PC3"]
+    got = {r.id: r for r in out.collect()}
+    assert got[4].PC1 is None and got[4]["other.name"] == "s4" and all(abs(r.PC3) < 1e-9 for i, r in got.items() if i != 4)
+
+
+def test_discriminants_against_numpy(spark):
+    rng = np.random.default_rng(19)
+    y = np.arange(300) % 4
+    x = rng.normal(size=(300, 20)) @ rng.normal(size=(20, 20)) + rng.normal(size=(4, 20))[y] * 2
+    names = [f"x{i}" for i in range(20)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(y=y))
+    model = reduce.LDAReducer(columns=names, target="y").fit(df)
+    means = np.array([x[y == c].mean(axis=0) for c in range(4)])
+    within = sum((x[y == c] - means[c]).T @ (x[y == c] - means[c]) for c in range(4)) / 296
+    between = sum(75 * np.outer(m - x.mean(axis=0), m - x.mean(axis=0)) for m in means) / 300
+    want = np.sort(np.linalg.eigvals(np.linalg.solve(within, between)).real)[::-1][:3]
+    w = np.array(model.state["components"])
+    assert np.allclose(w @ within @ w.T, np.eye(3), atol=1e-9)
+    assert np.allclose(np.diag(w @ between @ w.T), want) and np.allclose(model.state["ratios"], want / want.sum())
+
+
 def test_discriminants_need_two_classes(spark):
     df = spark.createDataFrame([(1.0, 2.0, 0), (2.0, 3.0, 0)], "a double, b double, y int")
     with pytest.raises(ValueError):
