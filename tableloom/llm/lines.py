@@ -19,7 +19,7 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def boilerplate(
-    pages: DataFrame, site: Column, text: Column, ratio: float = 0.1, least_pages: int = 5
+    pages: DataFrame, site: Column, text: Column, ratio: float = 0.05, least_pages: int = 5
 ) -> DataFrame:
     """(site, line, n_pages, site_pages): lines on more than ``ratio`` of their site's pages and at least
     ``least_pages`` of them. A page counts once per line; blank lines never count; a null site is a site of its own."""
@@ -57,7 +57,7 @@ def drop_boilerplate(
     pages: DataFrame,
     site: Column,
     text: str = "text",
-    ratio: float = 0.1,
+    ratio: float = 0.05,
     least_pages: int = 5,
     dropped: str | None = None,
 ) -> DataFrame:

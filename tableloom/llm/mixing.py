@@ -79,11 +79,13 @@ def fill(words: np.ndarray, order: np.ndarray, target: float) -> np.ndarray:
 @dataclass
 class Plan:
     """``documents``: id, source, block, size. ``sources``: source, source_size, target (on the driver, one row per
-    source). ``blocks``: source, block, shards – one entry of ``shards`` for each time the block is taken."""
+    source). ``blocks``: source, block, shards – one entry of ``shards`` for each time the block is taken. ``pieces``: tasks
+    that a shard is written by."""
 
     documents: DataFrame
     sources: pd.DataFrame
     blocks: DataFrame
+    pieces: int = 1
 
 
 def measure(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -114,7 +116,7 @@ def plan(
     cap: float = 3.0,
     blocks: int = 1_024,
     shard_words: int = 4_000_000,
-    max_shards: int = 4_096,
+    tree_shards: int = 4_096,
     seed: int = 17,
 ) -> Plan:
     """Decides how often every block of every source is taken and by which shards.
@@ -150,7 +152,9 @@ def plan(
     for row in sums.collect():
         quotas[number[row["source"]]] = row["blocks"]
         total += row["w"]
-    shards = min(max_shards, max(1, math.ceil(total / shard_words)))
+    # beyond ``tree_shards`` a shard is more than one task's share and is written in pieces
+    shards = min(tree_shards, max(1, math.ceil(total / shard_words)))
+    pieces = max(1, math.ceil(total / (shards * shard_words)))
     ends = np.cumsum(splitting_tree(quotas, shards, seed), axis=0)  # per shard: where its run of each source ends
 
     def dealt(group: pd.DataFrame) -> pd.DataFrame:  # one source: its permuted blocks go to the shards in runs
@@ -166,7 +170,7 @@ def plan(
         return pd.DataFrame({"source": group["source"], "block": group["block"], "shards": lists})
 
     table = taken.groupBy("source").applyInPandas(dealt, "source string, block int, shards array<int>")
-    return Plan(documents, known, materialise(table))
+    return Plan(documents, known, materialise(table), pieces)
 
 
 def checked(spark_table: DataFrame, rows: int) -> DataFrame:
@@ -194,7 +198,8 @@ def shares(made: Plan) -> DataFrame:
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", shard: str = "shard", seed: int = 17, blocks: int = 1_024, **options) -> DataFrame:
     """The mix itself: whole rows, repeated as often as taken, with their ``shard``; shards lie together in the
-    partitions, each in a random order. Options as in :func:`plan`.
+    partitions, each in a random order; where there are more words than ``tree_shards`` shards should hold, a shard is
+    several runs of one random order, each in one partition. Options as in :func:`plan`.
 
     Documents with a null source form a source; repeated rows are taken alike; rows that the mix does not take and rows
     without words go; an empty table stays empty. Other columns stay; a column named like ``shard`` is replaced.
@@ -213,4 +218,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", shard: s
     others = [c for c in docs.columns if c.lower() != shard.lower()]
     spread = joined.select(*map(named, others), F.posexplode(named(names["to"])).alias(names["at"], shard))
     order = F.xxhash64(F.lit(seed), named(shard), named(key), named(names["at"]))
-    return spread.repartition(named(shard)).sortWithinPartitions(named(shard), order).drop(names["at"])
+    if made.pieces == 1:
+        return spread.repartition(named(shard)).sortWithinPartitions(named(shard), order).drop(names["at"])
+    # a shard's random order cut into runs of equal chance
+    run = F.floor((order / F.lit(2.0**64) + 0.5) * made.pieces)
+    return spread.repartition(named(shard), run).sortWithinPartitions(named(shard), run, order).drop(names["at"])

@@ -138,7 +138,7 @@ SQL: dict[str, str] = {
         b AS (
             SELECT l.source, line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
             WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')
-            GROUP BY l.source, line, site_pages HAVING count(*) > 0.1 * site_pages AND count(*) >= 5
+            GROUP BY l.source, line, site_pages HAVING count(*) > 0.05 * site_pages AND count(*) >= 5
         ),
         g AS (SELECT source, list(line) AS drop_lines FROM b GROUP BY source),
         k AS (

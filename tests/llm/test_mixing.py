@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -86,6 +87,16 @@ def test_mix(spark):
     for r in mix:
         shards[r.shard] += 1
     assert len(shards) > 5 and all(r.block == 1 for r in mix)
+    # few shards of many words are written in pieces, by more tasks than shards
+    few = mixing.mixed(df, blocks=64, shard_words=2_000, tree_shards=2)
+    assert mixing.plan(df, blocks=64, shard_words=2_000, tree_shards=2).pieces > 1
+    assert Counter((r.doc_id, r.text) for r in few.collect()) == Counter((r.doc_id, r.text) for r in mix)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        places = {(r[0], r[1]) for r in few.select("Shard", F.spark_partition_id()).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({s for s, _ in places}) == 2 < len(places)
 
 
 def _times(rows):

@@ -45,7 +45,7 @@ def test_boilerplate_goes(stages):
     for r in rows:
         pages[r.source] += 1
         holds.update({(r.source, line) for line in r.text.split("\n") if line.strip()})
-    bad = {k for k, n in holds.items() if n >= 5 and n > 0.1 * pages[k[0]]}
+    bad = {k for k, n in holds.items() if n >= 5 and n > 0.05 * pages[k[0]]}
     want = {r.doc_id: "\n".join(x for x in r.text.split("\n") if (r.source, x) not in bad) for r in rows}
     got = {r.doc_id: r for r in cut.collect()}
     assert {k: r.text for k, r in got.items()} == want
@@ -121,3 +121,17 @@ def test_odd_documents(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_unrelated_texts_under_one_id_stay(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey")
+    rows = [(3, a), (3, b), (3, c), (3, a), (9, b), (1, c), (None, a), (None, "lonely words without any number here"),
+            (5, "same words for two rows here"), (5, "same words for two rows here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    kept = pipeline.without_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    want = [(3, a), (3, b), (1, c), (None, "lonely words without any number here"), (5, "same words for two rows here")]
+    assert got == sorted(want, key=str)
+    three = spark.createDataFrame([(3, t, "en", "s", len(t)) for t in (a, b, c)], COLUMNS)
+    assert pipeline.without_near_copies(spark, three, SF).count() == 3
