@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableloom.functions.columns import free_name
@@ -37,16 +37,18 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies. Rows with a null id stay. Of rows that share an
-    id, the one with the smallest text stays."""
-    first = materialise(
-        jaccard.near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    )
-    place = free_name(docs, "place")
-    kept = docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn(place, F.row_number().over(order)).filter(named(place) == 1).drop(place)
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of every group of near copies: the one with the smallest id (a null id comes last). Groups are of rows, so
+    unrelated texts under one id all stay, and copies without an id go like others. Texts without words are copies of
+    nothing and stay."""
+    row, component = free_name(docs, "row"), "component_id"
+    # the key is written with the rows, so both ways to them see the same one
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = jaccard.near_duplicates(keyed, key=row).select(named(row).alias("__of"), component)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__of")
+    ids = keyed.select(named(row).alias("__key"), "doc_id")
+    first = groups.join(ids, F.col("__of") == F.col("__key")).groupBy(component).agg(F.min_by("__of", order).alias("__first"))
+    first = materialise(first.select("__first"))
+    return keyed.join(first, named(row) == F.col("__first"), "left_semi").drop(row)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
