@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.data import UNEVEN, Source, near, rounded, rounded_columns, table
+from tableloom.operators.boosting import HistogramBooster
 from tableloom.operators import models
 from tableloom.operators.balance import ClassBalancer
 from tableloom.plans import search
@@ -276,6 +278,51 @@ def _outcome(spark, found) -> DataFrame:
     return spark.createDataFrame(rows, "metric string, value double")
 
 
+SPLIT_FEATURES = ["l_quantity", "l_tax", "l_discount"]
+
+
+def first_split(**options):
+    """The first tree's only split, learned from all lines: feature, cut, gain as a share of the squared gradients, and
+    the values of both leaves."""
+
+    def run(spark, sf):
+        df = table(spark, sf, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in SPLIT_FEATURES], F.col("l_extendedprice").cast("double").alias("__y"))
+        df = VectorAssembler(inputCols=SPLIT_FEATURES, outputCol="__features").transform(df)
+        tree = HistogramBooster(rounds=1, learning_rate=0.1, **options).fit(df).splits(spark)
+        squares = df.agg((F.var_pop("__y") * F.count(F.lit(1))).alias("s"))
+        root, sides = tree.filter("node = 0"), tree.filter("node > 0").groupBy().agg(
+            F.max_by("value", -F.col("node")).alias("low"), F.max_by("value", "node").alias("high")
+        )
+        names = F.array(*[F.lit(c) for c in SPLIT_FEATURES])
+        return root.join(F.broadcast(sides)).join(F.broadcast(squares)).select(
+            names[F.col("feature")].alias("feature"), rounded("cut", 6).alias("cut"),
+            rounded(F.col("gain") / F.col("s"), 9).alias("gain"), rounded("low", 4).alias("low"), rounded("high", 4).alias("high"),
+        )
+
+    return run
+
+
+def first_split_sql(l1=0.0, l2=0.0, least=1):
+    def strength(g, h):
+        return f"pow(greatest(abs({g}) - {l1}, 0), 2) / ({h} + {l2})"
+
+    def value(g, h):
+        return f"-0.1 * sign({g}) * greatest(abs({g}) - {l1}, 0) / ({h} + {l2})"
+
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, g FROM r" for c in SPLIT_FEATURES)
+    return f"""
+        WITH m AS (SELECT avg(CAST(l_extendedprice AS DOUBLE)) AS mean FROM lineitem),
+             r AS (SELECT *, mean - CAST(l_extendedprice AS DOUBLE) AS g FROM lineitem, m),
+             c AS (SELECT feature, x, sum(g) AS g, count(*) AS h FROM ({parts}) GROUP BY 1, 2),
+             b AS (SELECT feature, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY feature) AS gt,
+                     sum(h) OVER (PARTITION BY feature) AS ht FROM c WINDOW w AS (PARTITION BY feature ORDER BY x)),
+             s AS (SELECT *, 0.5 * ({strength('gl', 'hl')} + {strength('(gt - gl)', '(ht - hl)')} - {strength('gt', 'ht')}) AS gain
+                   FROM b WHERE hl >= {least} AND ht - hl >= {least})
+        SELECT feature, {near('x', 6)} AS cut, {near('gain / (SELECT sum(g * g) FROM r)', 9)} AS gain,
+               {near(value('gl', 'hl'), 4)} AS low, {near(value('(gt - gl)', '(ht - hl)'), 4)} AS high
+        FROM s ORDER BY gain DESC LIMIT 1"""
+
+
 PEOPLE = Source(
     "customer", "c_custkey", "c_acctbal", "CAST(c_nationkey AS DOUBLE) AS nation",
     "CAST(c_custkey % 3 AS DOUBLE) AS kind",
@@ -465,6 +512,9 @@ CHECKS = {
     "m6_random_forest": (classified("randomforest", {"max_depth": 5}), None),
     "m7_gradient_boosting": (regressed("gradientboosting", {}), None),
     "m7_gradient_boosting_classes": (classified("gradientboosting", {"max_depth": 2}), None),
+    "m8_first_split": (first_split(max_depth=1, l1=100.0, l2=50.0), first_split_sql(100.0, 50.0)),
+    "m9_first_split": (first_split(growth="leaf", max_leaves=2, min_rows=500), first_split_sql(least=500)),
+    "m10_first_split": (first_split(growth="oblivious", max_depth=1, l2=3.0), first_split_sql(l2=3.0)),
     "m8_boosting_xgboost_profile": (regressed("xgboost", {"max_depth": 4, "colsample_bytree": 0.7}), None),
     "m9_boosting_lightgbm_profile": (regressed("lightgbm", {"num_leaves": 15}), None),
     "m10_boosting_catboost_profile": (regressed("catboost", {"depth": 4}), None),

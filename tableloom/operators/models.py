@@ -11,7 +11,7 @@ from typing import Any, ClassVar
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,6 +26,7 @@ from tableloom.functions.columns import NUMERIC, detect_target, number, q
 from tableloom.functions.expr import unit_hash
 from tableloom.functions.knn import knn_join
 from tableloom.operators.base import FittedStep, Step
+from tableloom.operators.boosting import HistogramBooster
 from tableloom.operators.scale import FeatureScaler
 from tableloom.operators.select import class_labels
 from tableloom.session import materialise
@@ -76,10 +77,10 @@ SCHEMAS: dict[str, dict[str, dict]] = {
     "xgboost": {**_BOOST, **_SUBSAMPLE, "max_depth": _int(6, 1, 20, "tree"),
                 "colsample_bytree": _float(1.0, 0.1, 1.0, "sampling"),
                 "reg_alpha": _float(0.0, 0.0, 10.0, "regularization"),
-                "reg_lambda": _float(None, 0.0, 10.0, "regularization")},
+                "reg_lambda": _float(1.0, 0.0, 10.0, "regularization")},
     "lightgbm": {**_BOOST, **_SUBSAMPLE, "num_leaves": _int(31, 2, 255, "tree"),
                  "min_child_samples": _int(20, 5, 100, "tree")},
-    "catboost": {**_BOOST, "depth": _int(6, 1, 16, "tree"), "l2_leaf_reg": _float(None, 0.0, 10.0, "regularization"),
+    "catboost": {**_BOOST, "depth": _int(6, 1, 16, "tree"), "l2_leaf_reg": _float(3.0, 0.0, 10.0, "regularization"),
                  "border_count": _int(254, 1, 255, "preprocessing")},
     "knn": {"n_neighbors": _int(5, 1, 100, "model"), "weights": _choice("uniform", "uniform", "distance"),
             "metric": _choice("minkowski", "euclidean", "manhattan", "chebyshev", "minkowski"),
@@ -192,38 +193,41 @@ def _boosted(task, p, classes, **more) -> Estimator:
         **_columns(), "maxIter": p["n_estimators"], "stepSize": p["learning_rate"], "seed": p["random_state"],
         "subsamplingRate": p.get("subsample", 1.0), **more,
     }
-    if task == "regression":
-        return GBTRegressor(**settings)
-    booster = GBTClassifier(**settings)
-    # boosting is binary; more classes are learned one against the rest
-    return booster if classes <= 2 else OneVsRest(classifier=booster, featuresCol=FEATURES, labelCol=LABEL)
+    return (GBTRegressor if task == "regression" else GBTClassifier)(**settings)
+
+
+def _second_order(task, p, classes, **more) -> Estimator:
+    return HistogramBooster(
+        task=task, classes=classes, features=FEATURES, label=LABEL, rounds=p["n_estimators"],
+        learning_rate=p["learning_rate"], subsample=p.get("subsample", 1.0), seed=p["random_state"], **more,
+    )
 
 
 def _gradientboosting(task, p, rows, spread, classes):
     if p["min_samples_split"] != 2:
         raise ValueError("min_samples_split is not offered")
+    if classes > 2:  # rounds under one softmax; Spark's own boosting is binary
+        return _second_order(task, p, classes, max_depth=p["max_depth"])
     return _boosted(task, p, classes, maxDepth=p["max_depth"])
 
 
 def _xgboost(task, p, rows, spread, classes):
-    if p["reg_alpha"] or p["reg_lambda"]:
-        raise ValueError("leaf penalties reg_alpha and reg_lambda are not offered by Spark's boosting")
-    share = p["colsample_bytree"]
-    return _boosted(
-        task, p, classes, maxDepth=p["max_depth"], featureSubsetStrategy="all" if share == 1.0 else str(float(share))
+    return _second_order(
+        task, p, classes, max_depth=p["max_depth"], column_share=p["colsample_bytree"], l1=p["reg_alpha"],
+        l2=p["reg_lambda"], min_hessian=1.0, max_bins=256,
     )
 
 
 def _lightgbm(task, p, rows, spread, classes):
-    return _boosted(
-        task, p, classes, maxDepth=math.ceil(math.log2(p["num_leaves"])), minInstancesPerNode=p["min_child_samples"]
+    return _second_order(
+        task, p, classes, growth="leaf", max_leaves=p["num_leaves"], min_rows=p["min_child_samples"], min_hessian=1e-3,
     )
 
 
 def _catboost(task, p, rows, spread, classes):
-    if p["l2_leaf_reg"]:
-        raise ValueError("the leaf penalty l2_leaf_reg is not offered by Spark's boosting")
-    return _boosted(task, p, classes, maxDepth=p["depth"], maxBins=p["border_count"] + 1)
+    return _second_order(
+        task, p, classes, growth="oblivious", max_depth=p["depth"], l2=p["l2_leaf_reg"], max_bins=p["border_count"] + 1,
+    )
 
 
 _BUILDERS = {
@@ -362,24 +366,9 @@ class Trained:
         if self.kind == "knn":
             return self.model.probabilities(_assembled(df, self.features, None, self.key))
         assembled = _assembled(df, self.features, None, self.key)
-        if isinstance(self.model, OneVsRestModel):
-            return self._one_against_rest(assembled)
         scored = _score(self.model, assembled, self.kind)
         return scored.withColumn("probability", vector_to_array("probability")).drop(FEATURES, KEY, "rawPrediction")
 
-    def _one_against_rest(self, assembled: DataFrame) -> DataFrame:
-        """Each class's own probability against the rest, scaled to a sum of one."""
-        scored = self.model.transform(assembled).drop("rawPrediction")
-        parts = []
-        for i, model in enumerate(self.model.models):
-            own = model.copy().setPredictionCol(f"__p{i}").setProbabilityCol(f"__q{i}").setRawPredictionCol(f"__r{i}")
-            scored = own.transform(scored).withColumn(f"__q{i}", vector_to_array(f"__q{i}")[1]).drop(f"__p{i}", f"__r{i}")
-            parts.append(f"__q{i}")
-        total = sum((F.col(c) for c in parts[1:]), F.col(parts[0]))
-        even = F.lit(1.0 / len(parts))
-        shares = F.array(*[F.when(total > 0, F.col(c) / total).otherwise(even) for c in parts])
-        return scored.withColumn("probability", shares).drop(*parts, FEATURES, KEY)
-
     def evaluate(self, df: DataFrame, metrics: Sequence[str] | None = None) -> dict[str, float]:
         labelled = _assembled(df, self.features, self._target_column(df), self.key)
         found = {r["metric"]: r["value"] for r in evaluation(_score(self.model, labelled, self.kind), LABEL, "prediction", self.task).collect()}

@@ -566,6 +566,96 @@ def test_boosting_gives_probabilities_for_three_classes(spark):
     assert sum(found.labels[max(range(3), key=lambda k: r.probability[k])] == r.kind for r in out) >= 85
 
 
+def grown_best_first(x, g, leaves, least, l2):
+    """Best-first tree with one split at a time, by scanning every value of every feature: leaf value per row."""
+    def best(rows):
+        found = (1e-12, None)
+        for f in range(x.shape[1]):
+            for v in np.unique(x[rows, f])[:-1]:
+                low, high = rows[x[rows, f] <= v], rows[x[rows, f] > v]
+                if min(len(low), len(high)) >= least:
+                    gain = 0.5 * (g[low].sum() ** 2 / (len(low) + l2) + g[high].sum() ** 2 / (len(high) + l2) - g[rows].sum() ** 2 / (len(rows) + l2))
+                    if gain > found[0] * (1 + 1e-12):
+                        found = (gain, (low, high))
+        return found
+
+    open_ = [(best(np.arange(len(x))), np.arange(len(x)))]
+    while len(open_) < leaves:
+        at = max(range(len(open_)), key=lambda i: open_[i][0][0])
+        (gain, parts), _ = open_[at]
+        if parts is None:
+            break
+        open_[at : at + 1] = [(best(p), p) for p in parts]
+    out = np.zeros(len(x))
+    for _, rows in open_:
+        out[rows] = -g[rows].sum() / (len(rows) + l2)
+    return out, len(open_)
+
+
+def boosted_frame(spark, x, y):
+    from pyspark.ml.feature import VectorAssembler
+
+    names = [f"x{i}" for i in range(x.shape[1])]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(__y=y, id=np.arange(len(y))))
+    return VectorAssembler(inputCols=names, outputCol="__features").transform(df)
+
+
+@pytest.mark.parametrize("leaves,least,l2", [(2, 1, 0.0), (9, 5, 1.5), (40, 3, 0.0)])
+def test_best_first_trees_against_one_split_at_a_time(spark, leaves, least, l2):
+    from tableloom.operators.boosting import HistogramBooster
+
+    rng = np.random.default_rng(leaves)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = np.sin(x[:, 0]) * 3 + (x[:, 1] > 6) * x[:, 2] + rng.normal(size=300)
+    df = boosted_frame(spark, x, y).repartition(5)
+    model = HistogramBooster(rounds=2, learning_rate=1.0, growth="leaf", max_leaves=leaves, min_rows=least, l2=l2).fit(df)
+    scores = np.full(300, y.mean())
+    for tree in model.state["trees"]:
+        made, count = grown_best_first(x, scores - y, leaves, least, l2)
+        reached, todo = set(), [0]
+        while todo:
+            n = todo.pop()
+            if tree[0]["feature"][n] < 0:
+                reached.add(n)
+            else:
+                todo += [tree[0]["left"][n], tree[0]["right"][n]]
+        assert len(reached) == count
+        scores = scores + made
+    got = {r.id: r.prediction for r in model.transform(df).collect()}
+    assert np.allclose([got[i] for i in range(300)], scores)
+
+
+def test_boosting_penalties_levels_and_layout(spark, tmp_path):
+    from tableloom.operators.boosting import HistogramBooster, HistogramBoosterModel
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4))
+    x[::9, 1] = np.nan
+    y = np.where(np.isnan(x[:, 1]), 2.0, x[:, 1]) + x[:, 0] * x[:, 2]
+    from pyspark.ml.feature import VectorAssembler
+
+    names = [f"x{i}" for i in range(4)]
+    raw = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], ["id", *names, "__y"])
+    df = VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="keep").transform(raw)
+    alike = HistogramBooster(rounds=3, growth="oblivious", max_depth=3, l2=3.0, subsample=0.7, max_bins=16).fit(df)
+    for (tree,) in alike.state["trees"]:
+        level = [0]
+        while level and tree["feature"][level[0]] >= 0:
+            assert len({(tree["feature"][n], tree["cut"][n]) for n in level}) == 1
+            level = [c for n in level for c in (tree["left"][n], tree["right"][n])]
+    again = HistogramBooster(rounds=3, growth="oblivious", max_depth=3, l2=3.0, subsample=0.7, max_bins=16).fit(df.repartition(7))
+    assert [t[0]["feature"] for t in again.state["trees"]] == [t[0]["feature"] for t in alike.state["trees"]]
+    free = HistogramBooster(rounds=12, max_depth=3).fit(df)  # scores are written once on the way
+    error = free.transform(df).agg(F.avg(F.pow(F.col("prediction") - F.col("__y"), 2))).first()[0]
+    assert error < 0.4 * y.var()
+    held = HistogramBooster(rounds=2, max_depth=3, l1=1e9).fit(df)
+    assert all(abs(v) < 1e-12 for t in held.state["trees"] for v in t[0]["value"])
+    free.write().save(str(tmp_path / "m"))
+    loaded = HistogramBoosterModel.load(str(tmp_path / "m"))
+    a, b = ({r.id: r.prediction for r in m.transform(df).collect()} for m in (free, loaded))
+    assert a == b
+
+
 def test_keep_first_without_an_order_is_determined(spark):
     from tableloom.operators.clean import drop_duplicates
 
