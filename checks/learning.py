@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import SQLTransformer
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.data import UNEVEN, Source, near, rounded, rounded_columns, table
-from tableloom.operators.boosting import HistogramBooster
 from tableloom.operators import models
 from tableloom.operators.balance import ClassBalancer
+from tableloom.operators.boosting import HistogramBooster
+from tableloom.operators.select import FeatureSelector
 from tableloom.plans import search
 from tableloom.plans.config import PrepareConfig
 from tableloom.plans.prepare import build, create, prepare, register_component
@@ -278,6 +278,47 @@ def _outcome(spark, found) -> DataFrame:
     return spark.createDataFrame(rows, "metric string, value double")
 
 
+def terms(spark, sf) -> DataFrame:
+    """Orders with a class that year and month decide, and a feature that decides nothing."""
+    df = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate")).withColumn("month", F.month("o_orderdate"))
+    kind = F.when(F.col("year") < 1994, "early").when(F.col("month") <= 6, "first").otherwise("second")
+    return df.withColumn("term", kind).withColumn("late", F.when(F.col("year") < 1995, "no").otherwise("yes"))
+
+
+TERM_SQL = """SELECT o_orderkey, CASE WHEN year(o_orderdate) < 1994 THEN 'early' WHEN month(o_orderdate) <= 6 THEN 'first'
+    ELSE 'second' END AS prediction FROM orders"""
+LATE_SQL = "SELECT o_orderkey, CASE WHEN year(o_orderdate) < 1995 THEN 'no' ELSE 'yes' END AS prediction FROM orders"
+
+
+def predicted(kind, params, target="term"):
+    """Every row's predicted class, learned from the training rows: where features decide the class, it is the class."""
+
+    def run(spark, sf):
+        df = terms(spark, sf)
+        found = models.train(df, kind, "classification", "o_orderkey", target, ["o_totalprice", "year", "month"], params)
+        return found.score(df).select("o_orderkey", "prediction")
+
+    return run
+
+
+def folds(spark, sf):
+    """Accuracy in every fold of a tree that can tell the classes apart."""
+    found = models.cross_validate(
+        terms(spark, sf), "decisiontree", "classification", "o_orderkey", "term", ["year", "month"],
+        params={"max_depth": 4, "max_features": None},
+    )
+    rows = [(i, float(s)) for i, s in enumerate(found["cv_scores"])]
+    return spark.createDataFrame(rows, "fold bigint, accuracy double")
+
+
+def kept_features(method):
+    def run(spark, sf):
+        model = FeatureSelector(method=method, columns=["o_totalprice", "year", "month"], target="term", k=2).fit(terms(spark, sf))
+        return model.scores(spark).filter("kept").select("column")
+
+    return run
+
+
 SPLIT_FEATURES = ["l_quantity", "l_tax", "l_discount"]
 
 
@@ -512,6 +553,17 @@ CHECKS = {
     "m6_random_forest": (classified("randomforest", {"max_depth": 5}), None),
     "m7_gradient_boosting": (regressed("gradientboosting", {}), None),
     "m7_gradient_boosting_classes": (classified("gradientboosting", {"max_depth": 2}), None),
+    "m1_logistic_rows": (predicted("linear", {"C": 10.0}, "late"), LATE_SQL),
+    "m5_decision_tree_rows": (predicted("decisiontree", {"max_depth": 5, "max_features": None}), TERM_SQL),
+    "m6_random_forest_rows": (predicted("randomforest", {"max_depth": 5, "max_features": None, "n_estimators": 20}), TERM_SQL),
+    "m7_gradient_boosting_rows": (predicted("gradientboosting", {"max_depth": 3, "n_estimators": 10}, "late"), LATE_SQL),
+    "m7_softmax_rows": (predicted("gradientboosting", {"max_depth": 3, "n_estimators": 10}), TERM_SQL),
+    "m8_xgboost_rows": (predicted("xgboost", {"max_depth": 3, "n_estimators": 10, "reg_alpha": 0.5}), TERM_SQL),
+    "m9_lightgbm_rows": (predicted("lightgbm", {"num_leaves": 7, "n_estimators": 10}), TERM_SQL),
+    "m10_catboost_rows": (predicted("catboost", {"depth": 4, "n_estimators": 10}), TERM_SQL),
+    "m17_fold_accuracy": (folds, "SELECT i AS fold, CAST(1 AS DOUBLE) AS accuracy FROM range(5) t(i)"),
+    "r3_importance_kept": (kept_features("importance"), "SELECT unnest(['month', 'year']) AS \"column\""),
+    "r4_elimination_kept": (kept_features("rfe"), "SELECT unnest(['month', 'year']) AS \"column\""),
     "m8_first_split": (first_split(max_depth=1, l1=100.0, l2=50.0), first_split_sql(100.0, 50.0)),
     "m9_first_split": (first_split(growth="leaf", max_leaves=2, min_rows=500), first_split_sql(least=500)),
     "m10_first_split": (first_split(growth="oblivious", max_depth=1, l2=3.0), first_split_sql(l2=3.0)),

@@ -129,6 +129,27 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank: str) -> DataFrame:
     )
 
 
+def grouped_rank(df: DataFrame, group: str, order: Sequence[Column], rank: str) -> DataFrame:
+    """Zero-based position of every row within its group, however many rows a group has.
+
+    Rows are range-partitioned by group and order and ranked inside each range; a group that goes on in further ranges
+    is shifted by its rows in the ranges before. A null group is a group.
+    """
+    part = free_name(df, "part")
+    ranged = materialise(df.repartitionByRange(q(group).asc_nulls_first(), *order).withColumn(part, F.spark_partition_id()))
+    sizes = ranged.groupBy(q(group).alias("__group"), q(part).alias("__from")).agg(F.count(F.lit(1)).alias("__n"))
+    # one row per group and range: a group has at most as many as there are ranges
+    before = Window.partitionBy("__group").orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__group", "__from", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(part, group).orderBy(*order)) - 1
+    return (
+        ranged.withColumn("__inside", inside)
+        .join(starts, (q(part) == F.col("__from")) & q(group).eqNullSafe(F.col("__group")))
+        .withColumn(rank, F.col("__start") + F.col("__inside"))
+        .drop(part, "__group", "__from", "__start", "__inside")
+    )
+
+
 def rows_before(counts: DataFrame, order: Sequence[Column], n: str, to: str) -> DataFrame:
     """For a table of distinct values with counts: how many rows come before each value in order."""
     block = free_name(counts, "block")

@@ -25,7 +25,7 @@ from tableloom.operators.base import FittedStep, Step
 from tableloom.session import materialise
 
 #: Rounds after which the rows' scores are written, so a pass evaluates few trees.
-ROUNDS_KEPT = 10
+ROUNDS_KEPT = 3
 #: Rows per task, at least as far as the input's partitions allow.
 TASK_ROWS = 32_768
 #: Features whose sums travel in one row.

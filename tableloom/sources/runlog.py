@@ -13,9 +13,11 @@ from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableloom.functions.keyed import grouped_rank
+
 SCHEMAS = {
     "runs": "run_id string, model_name string, task string, status string, start_time timestamp, "
     "end_time timestamp, metadata string, recorded_at timestamp",
@@ -95,11 +97,14 @@ def run_states(events: DataFrame) -> DataFrame:
     return state.withColumn("duration_seconds", seconds)
 
 
+VERSION_ORDER = ("created_at", "run_id", "model_path")
+
+
 def versions(models: DataFrame) -> DataFrame:
-    """``v1.0``, ``v2.0``, … per model type in order of creation."""
-    order = Window.partitionBy("model_type").orderBy("created_at", "run_id", "model_path")
-    number = F.row_number().over(order).cast("string")
-    return models.withColumn("model_version", F.concat(F.lit("v"), number, F.lit(".0")))
+    """``v1.0``, ``v2.0``, … per model type in order of creation. A type may hold any share of all models."""
+    numbered = grouped_rank(models, "model_type", [F.col(c) for c in VERSION_ORDER], "__place")
+    number = (F.col("__place") + 1).cast("bigint").cast("string")
+    return numbered.withColumn("model_version", F.concat(F.lit("v"), number, F.lit(".0"))).drop("__place")
 
 
 def experiments(
@@ -123,11 +128,17 @@ def experiments(
 
 
 def best_model(models: DataFrame, model_type: str) -> DataFrame:
-    """The newest model of a type that is flagged best, with its version."""
-    numbered = versions(models.filter(F.col("model_type") == model_type))
-    return numbered.filter("is_best").orderBy(F.desc("created_at"), F.desc("run_id")).limit(1).select(
-        "run_id", F.col("model_version").alias("version"), F.col("model_path").alias("path")
+    """The newest model of a type that is flagged best, with its version: one more than the models before it."""
+    mine = models.filter(F.col("model_type") == model_type)
+    place = F.struct(*VERSION_ORDER)
+    best = mine.filter("is_best").orderBy(*[F.desc(c) for c in VERSION_ORDER]).limit(1)
+    best = best.select("run_id", "model_path", F.col("model_type").alias("of"), place.alias("at"))
+    earlier = mine.select(F.col("model_type").alias("type"), place.alias("place")).join(
+        F.broadcast(best.select("of", "at")), (F.col("type") == F.col("of")) & (F.col("place") < F.col("at"))
     )
+    number = earlier.groupBy("of").agg(F.count(F.lit(1)).alias("before"))
+    version = F.concat(F.lit("v"), (F.coalesce("before", F.lit(0)) + 1).cast("string"), F.lit(".0"))
+    return best.join(number, "of", "left").select("run_id", version.alias("version"), F.col("model_path").alias("path"))
 
 
 def compare(metrics: DataFrame, run_ids: Sequence[str] | None = None, names: Sequence[str] | None = None) -> DataFrame:

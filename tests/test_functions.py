@@ -84,6 +84,20 @@ def test_global_rank_and_rows_before(spark):
     assert (rows["b"].to_numpy() == rows["n"].cumsum().shift(fill_value=0).to_numpy()).all()
 
 
+def test_ranks_inside_groups_that_span_ranges(spark):
+    from tableloom.functions.keyed import grouped_rank
+
+    rows = [("hot", i) for i in range(400)] + [(f"g{i % 9}", i) for i in range(90)] + [(None, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = grouped_rank(df, "k", [F.col("v")], "r").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {(k, v): sorted(w for j, w in rows if j == k).index(v) for k, v in rows}
+    assert len(got) == len(rows) and all(r.r == want[r.k, r.v] for r in got)
+
+
 def brute(x, y, qid, cid, k, dist, same):
     found = {}
     for i, q in enumerate(qid):
