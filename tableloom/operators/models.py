@@ -20,7 +20,6 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tableloom.functions.columns import NUMERIC, detect_target, number, q
 from tableloom.functions.expr import unit_hash
@@ -427,20 +426,17 @@ def train(
     checked = checked_params(kind, task, params)
     target, names, labels = _prepared(df, task, target, features, key)
     label = _target(df, target, task, labels)
-    table = _assembled(df, names, label, key).filter(F.col(LABEL).isNotNull()).persist(StorageLevel.DISK_ONLY)
+    table = materialise(_assembled(df, names, label, key).filter(F.col(LABEL).isNotNull()))
     run_id = log.start_run(kind, task, checked) if log else None
-    try:
-        rows, held_out = split(table, KEY, test_size, seed)
-        model = _estimator(kind, task, checked, names, rows, labels).fit(rows)
-        metrics = {
-            r["metric"]: r["value"]
-            for r in evaluation(_score(model, held_out, kind), LABEL, "prediction", task).collect()
-        }
-        sizes = table.agg(
-            F.count_if(unit_hash(q(KEY), seed=seed) >= test_size), F.count_if(unit_hash(q(KEY), seed=seed) < test_size)
-        ).first()
-    finally:
-        table.unpersist()
+    rows, held_out = split(table, KEY, test_size, seed)
+    model = _estimator(kind, task, checked, names, rows, labels).fit(rows)
+    metrics = {
+        r["metric"]: r["value"]
+        for r in evaluation(_score(model, held_out, kind), LABEL, "prediction", task).collect()
+    }
+    sizes = table.agg(
+        F.count_if(unit_hash(q(KEY), seed=seed) >= test_size), F.count_if(unit_hash(q(KEY), seed=seed) < test_size)
+    ).first()
     if log:
         log.log_metrics(run_id, {k: v for k, v in metrics.items() if v is not None})
         log.finish_run(run_id)
@@ -459,7 +455,7 @@ def cross_validate(
     label = _target(df, target, task, labels)
     table = _assembled(df, names, label, key).filter(F.col(LABEL).isNotNull())
     stratum = F.col(LABEL) if task == "classification" else None
-    table = table.withColumn("__fold", fold_column(KEY, folds, seed, stratum)).persist(StorageLevel.DISK_ONLY)
+    table = materialise(table.withColumn("__fold", fold_column(KEY, folds, seed, stratum)))
 
     def one(fold: int) -> tuple[float, float]:
         rows, held_out = table.filter(F.col("__fold") != fold), table.filter(F.col("__fold") == fold)
@@ -469,11 +465,8 @@ def cross_validate(
             for part in (held_out, rows)
         )
 
-    try:
-        with ThreadPool(min(parallelism, folds)) as pool:
-            results = pool.map(inheritable_thread_target(df.sparkSession)(one), range(folds))
-    finally:
-        table.unpersist()
+    with ThreadPool(min(parallelism, folds)) as pool:
+        results = pool.map(inheritable_thread_target(df.sparkSession)(one), range(folds))
     scores = [r[0] for r in results]
     mean = sum(scores) / folds
     return {

@@ -11,12 +11,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tableloom.functions.columns import CATEGORICAL, NUMERIC, number, present, q
 from tableloom.functions.stats import numeric_stats
 from tableloom.operators.base import FittedStep, Step
 from tableloom.operators.encode import category_codes
+from tableloom.session import materialise
 
 METHODS = ("variance", "correlation", "importance", "rfe")
 TREES = 100
@@ -73,19 +73,16 @@ class FeatureSelector(Step):
 
     def _eliminate(self, df: DataFrame, features: list[str], target: str):
         wanted = self.opt("k") or max(1, len(features) // 2)
-        table = coded_features(df, features, target, self.opt("task_type")).persist(StorageLevel.DISK_ONLY)
+        table = materialise(coded_features(df, features, target, self.opt("task_type")))
         left, scores = list(features), {}
-        try:
-            while True:
-                found = _forest_scores(table, left, self.opt("task_type"), self.opt("trees"))
-                scores.update(found)
-                if len(left) <= wanted:
-                    return left, scores
-                drop = min(self.opt("elimination_step"), len(left) - wanted)
-                weakest = set(sorted(left, key=lambda c: found[c])[:drop])
-                left = [c for c in left if c not in weakest]
-        finally:
-            table.unpersist()
+        while True:
+            found = _forest_scores(table, left, self.opt("task_type"), self.opt("trees"))
+            scores.update(found)
+            if len(left) <= wanted:
+                return left, scores
+            drop = min(self.opt("elimination_step"), len(left) - wanted)
+            weakest = set(sorted(left, key=lambda c: found[c])[:drop])
+            left = [c for c in left if c not in weakest]
 
 
 class FeatureSelectorModel(FittedStep):
@@ -185,8 +182,4 @@ def importances(
     df: DataFrame, features: Sequence[str], target: str, task_type: str = "classification", trees: int = TREES
 ) -> dict[str, float]:
     """Random-forest importance of every feature."""
-    table = coded_features(df, features, target, task_type).persist(StorageLevel.DISK_ONLY)
-    try:
-        return _forest_scores(table, features, task_type, trees)
-    finally:
-        table.unpersist()
+    return _forest_scores(materialise(coded_features(df, features, target, task_type)), features, task_type, trees)

@@ -36,7 +36,9 @@ class RunLog:
     def table(self, name: str) -> DataFrame:
         try:
             return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], SCHEMAS[name])
 
     def _append(self, name: str, rows: Sequence[tuple]) -> None:
