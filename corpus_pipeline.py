@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableloom.functions.columns import free_name
+from tableloom.functions.keyed import first_by
 from tableloom.llm import jaccard, lines, mixing, toxicity
 from tableloom.llm.common import id_remainder, named, table
 from tableloom.llm.queries import REJECT_FROM, bpe_digests
@@ -39,16 +40,21 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of near copies: the one with the smallest id (a null id comes last). Groups are of rows, so
     unrelated texts under one id all stay, and copies without an id go like others. Texts without words are copies of
-    nothing and stay."""
-    row, component = free_name(docs, "row"), "component_id"
-    # the key is written with the rows, so both ways to them see the same one
-    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
-    groups = jaccard.near_duplicates(keyed, key=row).select(named(row).alias("__of"), component)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__of")
-    ids = keyed.select(named(row).alias("__key"), "doc_id")
-    first = groups.join(ids, F.col("__of") == F.col("__key")).groupBy(component).agg(F.min_by("__of", order).alias("__first"))
-    first = materialise(first.select("__first"))
-    return keyed.join(first, named(row) == F.col("__first"), "left_semi").drop(row)
+    nothing; of rows alike in id and text one stays."""
+    key, other = free_name(docs, "key"), F.lit(0).cast(docs.schema["doc_id"].dataType)
+    keyed = docs.withColumn(key, F.struct(
+        F.col("doc_id").isNull().cast("int").alias("missing"), F.coalesce("doc_id", other).alias("id"),
+        F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("mark"),
+    ))
+    found = jaccard.near_duplicates(keyed.select(key, "text"), key=key)
+    first = found.filter(named(key) == F.col("component_id")).groupBy(named(key).alias("__first"))
+    first = materialise(first.agg(F.count(F.lit(1)).alias("__rows")))
+    # as many keys as rows that stay: never small, so no broadcast is tried
+    kept = keyed.join(first.hint("merge"), named(key) == F.col("__first")).drop("__first")
+    if first.filter("__rows > 1").isEmpty():
+        return kept.drop(key, "__rows")
+    alike = first_by(kept.filter("__rows > 1"), [key], [F.col("source"), F.col("lang")])
+    return kept.filter("__rows = 1").unionByName(alike).drop(key, "__rows")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
