@@ -1,13 +1,15 @@
 """Language-model scores from a log-bilinear model trained by noise-contrastive estimation.
 
-Tokens fall into a fixed number of classes: the commonest tokens alone, the end of text alone, all others by their last
-bytes. The model predicts a token's class from the two classes before it; within a class, smoothed counts of the whole
-corpus take over. Class and counts together give every token a normalised probability.
-
-Counts come from all training texts by a distributed count. Every task trains a copy of the model on all its training
-texts, and the copies are averaged by the tokens they saw. For scoring, batched matrix products give the normaliser of
-every pair of classes once; a token then costs one inner product. Common tokens carry their counts into the tasks
-(a table of bounded size); the others are joined with the counts.
+Tokens fall into classes whose number follows the vocabulary: the commonest tokens alone, the end of text alone, all
+others by their last bytes. The model predicts a token's class from the two classes before it; within a class, smoothed
+counts of the whole corpus take over. Class and counts together give every token a normalised probability.
+
+Counts come from all training texts by a distributed count, of tokens and of three classes in a row. The triples are all
+that the model can learn from; they lie in blocks dealt by a hash, so training depends on neither files nor partitions.
+It is synchronised: in every round each block gives loss and gradient for the same parameters, with the expectation over
+the noise taken exactly instead of drawn, and the driver takes one quasi-Newton step. For scoring, batched matrix
+products give the normaliser of every pair of classes once; a token then costs one inner product. Common tokens carry
+their counts into the tasks (a table of bounded size); the others are joined with the counts.
 """
 
 from __future__ import annotations
@@ -93,45 +95,77 @@ def add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     into[sorted_at[starts]] += np.add.reduceat(rows[order], starts, axis=0)
 
 
-class Trainer:
-    """Noise-contrastive estimation with AdaGrad steps on batches; one set of noise classes serves a whole batch."""
-
-    def __init__(self, model: LogBilinear, share: np.ndarray, seed: int, noise: int = 24, batch: int = 1024, rate: float = 0.1):
-        self.m = LogBilinear(*(p.copy() for p in model.parts()))
-        self.log_noise = np.log(noise * share).astype(np.float32)
-        self.edges, self.noise, self.batch, self.rate = np.cumsum(share), noise, batch, rate
-        self.squares = [np.full(p.shape, 1e-2, np.float32) for p in self.m.parts()]
-        self.rng, self.seen = np.random.default_rng(seed), 0
-
-    def learn(self, before: np.ndarray, word: np.ndarray) -> None:
-        for i in range(0, len(word), self.batch):
-            self.step(before[i : i + self.batch], word[i : i + self.batch])
-        self.seen += len(word)
-
-    def step(self, before: np.ndarray, word: np.ndarray) -> None:
-        m, (u, v) = self.m, before.T
-        ru, rv = m.r[u], m.r[v]
-        hidden = ru * m.c[0] + rv * m.c[1]
-        drawn = np.minimum(np.searchsorted(self.edges, self.rng.random(self.noise)), len(m.b) - 1)
-        qw, qn = m.q[word], m.q[drawn]
-        data = np.einsum("ij,ij->i", hidden, qw) + m.b[word] - self.log_noise[word]
-        other = hidden @ qn.T + (m.b[drawn] - self.log_noise[drawn])
-        # slopes of the loss: -log s(data) - sum log (1 - s(other)), s the logistic function
-        gd = -1 / (1 + np.exp(np.clip(data, -30, 30)))
-        gn = 1 / (1 + np.exp(np.clip(-other, -30, 30)))
-        scale = np.float32(1 / len(word))
-        gd, gn = gd * scale, gn * scale
-        gr, gc, gq, gb = (np.zeros_like(p) for p in m.parts())
-        add_rows(gq, word, gd[:, None] * hidden)
-        add_rows(gb, word, gd)
-        np.add.at(gq, drawn, gn.T @ hidden)
-        np.add.at(gb, drawn, gn.sum(axis=0))
-        gh = gd[:, None] * qw + gn @ qn
-        add_rows(gr, np.concatenate([u, v]), np.concatenate([gh * m.c[0], gh * m.c[1]]))
-        gc[0], gc[1] = (gh * ru).sum(axis=0), (gh * rv).sum(axis=0)
-        for part, square, grad in zip(m.parts(), self.squares, (gr, gc, gq, gb)):
-            square += (grad * 30) ** 2
-            part -= self.rate * 30 * grad / np.sqrt(square)
+#: Noise classes per token.
+NOISE = 24
+#: Contexts whose scores are held at once.
+CONTEXTS_AT_ONCE = 2048
+
+
+def contrast(model: LogBilinear, share: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Loss of noise-contrastive estimation over counted triples, sorted by context, and its gradient, in one array.
+
+    A context is u * (classes + 1) + v. Noise classes come in their shares, ``NOISE`` for each token, as expected.
+    """
+    k, log_noise, drawn = len(share), np.log(NOISE * share).astype(np.float32), (NOISE * share).astype(np.float32)
+    loss, (gr, gc, gq, gb) = 0.0, (np.zeros(p.shape) for p in model.parts())
+    starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    ends = np.r_[starts[1:], len(context)]
+    for i in range(0, len(starts), CONTEXTS_AT_ONCE):
+        first, last = starts[i], ends[min(i + CONTEXTS_AT_ONCE, len(starts)) - 1]
+        own = starts[i : i + CONTEXTS_AT_ONCE]
+        u, v = np.divmod(context[own], k + 1)
+        row = np.repeat(np.arange(len(own)), ends[i : i + CONTEXTS_AT_ONCE] - own)
+        w, count = word[first:last], n[first:last].astype(np.float32)
+        total = np.bincount(row, n[first:last]).astype(np.float32)
+        ru, rv = model.r[u], model.r[v]
+        hidden = ru * model.c[0] + rv * model.c[1]
+        scores = hidden @ model.q.T + (model.b - log_noise)
+        np.clip(scores, -30, 30, out=scores)
+        data = scores[row, w].astype(float)
+        odds = np.exp(-scores)
+        # -n log s(score) for what was seen, -(expected noise) log (1 - s(score)) for all classes
+        loss += float((n[first:last] * np.log1p(np.exp(-data))).sum())
+        loss += float((total @ (scores + np.log1p(odds))).astype(float) @ drawn.astype(float))
+        slope = (total[:, None] / (1 + odds)) * drawn
+        slope[row, w] -= count * (1 / (1 + np.exp(data))).astype(np.float32)
+        gq += slope.T @ hidden
+        gb += slope.sum(axis=0)
+        gh = slope @ model.q
+        add_rows(gr, np.concatenate([u, v]), np.concatenate([gh * model.c[0], gh * model.c[1]]))
+        gc[0] += (gh * ru).sum(axis=0)
+        gc[1] += (gh * rv).sum(axis=0)
+    return np.concatenate([[loss], *(g.ravel() for g in (gr, gc, gq, gb))])
+
+
+def minimise(loss_and_gradient, x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory quasi-Newton steps; a step that does not lower the loss is shortened."""
+    value, gradient = loss_and_gradient(x)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if not np.abs(gradient).max(initial=0.0) > 1e-9:
+            break
+        way, used = -gradient, []
+        for s, y in reversed(held):
+            a = (s @ way) / (s @ y)
+            used.append(a)
+            way = way - a * y
+        way = way * ((held[-1][0] @ held[-1][1]) / (held[-1][1] @ held[-1][1]) if held else 1 / np.linalg.norm(gradient))
+        for (s, y), a in zip(held, reversed(used)):
+            way = way + s * (a - (y @ way) / (s @ y))
+        step = 1.0
+        while True:
+            there = x + step * way
+            next_value, next_gradient = loss_and_gradient(there)
+            if next_value <= value + 1e-4 * step * (gradient @ way):
+                break
+            step /= 4
+            if step < 1e-5:
+                return x
+        s, y = there - x, next_gradient - gradient
+        if s @ y > 1e-12 * np.linalg.norm(s) * np.linalg.norm(y):
+            held = [*held, (s, y)][-memory:]
+        x, value, gradient = there, next_value, next_gradient
+    return x
 
 
 def contexts(classes: np.ndarray, lengths: Iterable[int], first: int) -> np.ndarray:
@@ -191,28 +225,87 @@ def commonest(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {bytes(r["token"]): r["c"] for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["token"])))}
 
 
-def average(copies: DataFrame, at_once: int = 32) -> tuple[np.ndarray, int]:
-    """Sum of the copies' values, each times its tokens, and the tokens: added up in groups until one row is left."""
+def triple_blocks(rows: DataFrame, classes: Classes, block_triples: int = 250_000, limit: int = 1_000_000) -> DataFrame:
+    """(block, context, word, n): the counted class triples of training rows, a packed row per block, in order.
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = None, 0
-        for batch in batches:
-            for values, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(values, np.float64)
-                total, seen = x if total is None else total + x, seen + n
-        if total is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([total.tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["flat", "seen"]
-            )
+    A context belongs to one block, by its hash; blocks are as many as the number of triples asks for.
+    """
+    k = classes.size
 
-    rows = materialise(copies)
-    n = rows.count()
-    while n > 1:
-        n = -(-n // at_once)
-        rows = materialise(rows.repartition(n).mapInArrow(add, "flat binary, seen bigint"))
-        n = min(n, rows.count())
-    row = rows.first()
-    return (np.frombuffer(row["flat"], np.float64), row["seen"]) if row else (np.empty(0), 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, size = Cache(classes.of, 200_000), [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys // k), pa.array(keys % k), pa.array(n, pa.int64())], names=["context", "word", "n"])
+
+        for batch in batches:
+            words: list[bytes] = []
+            lengths: list[int] = []
+            for t, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if t:
+                    own = tokens(value)
+                    words += own
+                    lengths.append(len(own))
+            if words:
+                word = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                before = contexts(word, lengths, k).astype(np.int64)
+                held.append((before[:, 0] * (k + 1) + before[:, 1]) * k + word)
+                size += len(word)
+            if size >= limit:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    schema = "context bigint, word bigint, n bigint"
+    counted = rows.filter("train").mapInArrow(run, schema).groupBy("context", "word").agg(F.sum("n").alias("n"))
+    counted = materialise(counted)
+    blocks = max(1, -(-counted.count() // block_triples))
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("context", "ascending"), ("word", "ascending")])
+        return pa.table({
+            "block": group.column("block").slice(0, 1),
+            **{c: pa.array([group.column(c).to_numpy().tobytes()], pa.binary()) for c in ("context", "word", "n")},
+        })
+
+    dealt = counted.withColumn("block", F.pmod(F.xxhash64("context"), F.lit(blocks)))
+    return materialise(dealt.groupBy("block").applyInArrow(pack, "block bigint, context binary, word binary, n binary"))
+
+
+def learn(blocks: DataFrame, begin: LogBilinear, share: np.ndarray, rounds: int, ridge: float, lanes: int = 64) -> LogBilinear:
+    """Synchronised rounds over all blocks. Gradients are added up in the order of the blocks."""
+    n_blocks = blocks.count()
+    if not n_blocks:
+        return begin
+    def evaluate(flat: np.ndarray) -> np.ndarray:
+        model = begin.filled(flat)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, *parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    made = contrast(model, share, *(np.frombuffer(part, np.int64) for part in parts))
+                    made = np.append(made, np.frombuffer(parts[2], np.int64).sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([made.tobytes()], pa.binary())], names=["block", "v"])
+
+        parts = blocks.mapInArrow(run, "block bigint, v binary")
+        if n_blocks > lanes:  # fewer rows for the driver
+
+            def added(group: pa.Table) -> pa.Table:
+                group = group.sort_by("block")
+                total = sum(np.frombuffer(v) for v in group.column("v").to_pylist())
+                return pa.table({"block": group.column("block").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
+
+            parts = parts.groupBy(F.col("block") % lanes).applyInArrow(added, "block bigint, v binary")
+        return sum(np.frombuffer(r["v"]) for r in sorted(parts.collect(), key=lambda r: r["block"]))
+
+    def loss_and_gradient(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        made = evaluate(flat)
+        n = made[-1]
+        return float(made[0] / n + ridge * (flat @ flat) / (2 * n)), made[1:-1] / n + ridge * flat / n
+
+    return begin.filled(minimise(loss_and_gradient, begin.flat(), rounds))
 
 
 def score(
@@ -220,16 +313,19 @@ def score(
     train: Column,
     key: str = "doc_id",
     text: str = "text",
-    singles: int = 255,
-    endings: int = 255,
+    singles: int | None = None,
+    endings: int | None = None,
     width: int = 16,
     common: int = 131_072,
+    rounds: int = 40,
+    ridge: float = 3.0,
     seed: int = 5,
 ) -> DataFrame:
     """Per document: ``key``, held_out, n_tokens, n_known, train_tokens, base_score, score; whole texts.
 
     Learns from rows where ``train`` holds; a null there means held out. ``base_score`` adds log10((c + 1) / (N + V + 1))
-    over the tokens; ``score`` the model's log10 probabilities. A null text counts as empty and has one token, its end.
+    over the tokens; ``score`` the model's log10 probabilities. ``singles`` and ``endings`` (classes of one token, and of
+    tokens with an ending in common) follow the cube root of the vocabulary unless given. A null text counts as empty and has one token, its end.
     Repeated rows are scored, and learnt from, each. Without training rows all base scores are 0 and the model knows one
     class. An empty table gives no rows. Other columns are ignored.
     """
@@ -241,6 +337,8 @@ def score(
     counts = materialise(count(rows))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_all, v_all = sums["n"], sums["v"]
+    following = max(16, round(1.5 * v_all ** (1 / 3)))
+    singles, endings = (following if size is None else size for size in (singles, endings))
 
     # tables of bounded size for the tasks: common tokens, single tokens, endings, sums of the classes
     top = commonest(counts, common)
@@ -266,27 +364,7 @@ def score(
     common_log = {t: float(np.log10(c + 1)) for t, c in top.items()}
     begin = LogBilinear.start(share, width, seed)
 
-    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, trainer = Cache(classes.of, 200_000), Trainer(begin, share, seed)
-        for batch in batches:
-            held: list[bytes] = []
-            lengths: list[int] = []
-            for t, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if t:
-                    words = tokens(value)
-                    held += words
-                    lengths.append(len(words))
-            if held:
-                word = np.fromiter(map(known.__getitem__, held), np.int32, len(held))
-                trainer.learn(contexts(word, lengths, classes.size), word)
-        if trainer.seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(trainer.m.flat() * trainer.seen).tobytes()], pa.binary()), pa.array([trainer.seen], pa.int64())],
-                names=["flat", "seen"],
-            )
-
-    flat, seen = average(rows.filter("train").mapInArrow(teach, "flat binary, seen bigint"))
-    model = begin.filled(flat / seen) if seen else begin
+    model = learn(triple_blocks(rows, classes), begin, share, rounds, ridge)
     shared = spark.sparkContext.broadcast((model, model.normaliser(), common_log))
     ten = np.log(10.0)
 
