@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.functions.columns import free_name
-from tableloom.llm.common import named
+from tableloom.llm.common import Cache, named
 from tableloom.session import materialise
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|math|select|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>"
+    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|select|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>"
     r".*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -42,8 +42,20 @@ FURNITURE = frozenset(
     " newsletter subscribe subscription share sharing social related recommended comment comments disqus reply replies"
     " respond widget login signup pagination pager toolbar skip".split()
 )
-#: Words that, next to a furniture word, say that the element is the content after all: ``content-with-sidebar``.
-CONTENT = frozenset("article body content entry main post story text has no with without".split())
+#: A furniture word after one of these names what the content lies beside: ``content-with-sidebar``, ``has-ads``.
+BESIDE = frozenset("with without has have no non hide w".split())
+#: Words that page builders and templates also put on content: these are furniture unless a content word stands next to
+#: them – before a header (``entry-header`` holds the title), after the others (``widget-text``).
+WEAK = frozenset("header widget notice notices banner toolbar skip".split())
+CONTENT = frozenset("article body content entry main post story text section title".split())
+#: What ``related`` lists; ``related-work`` is a section like any other.
+LISTED = frozenset("post posts article articles story stories link links content items news topics pages list box reading videos".split())
+#: Furniture also among inline elements and headings, and on an article that stands for a comment or an advert.
+SMALL = frozenset(
+    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion share sharing social related recommended"
+    " newsletter subscribe cookie cookies comment comments reply replies breadcrumb breadcrumbs".split()
+)
+INLINE = frozenset("span a ins small strong em b i label h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body div article main section center td".split())
 #: Elements that end a run of text.
 BLOCKS = CONTAINERS | LEFT_OUT | frozenset(
@@ -63,20 +75,38 @@ WHOLE = frozenset(("", "body", "html"))
 KINDS = {"": 0.5, "article": 1.3, "main": 1.15, "body": 0.8, "html": 0.6}
 
 
-def attributes(text: str) -> tuple[tuple[str, ...], bool]:
-    """Generalised classes, and whether class, id or role mark furniture."""
+def marks(name: str) -> set[str]:
+    """The furniture words that one class or id is named after."""
+    parts = [p for p in re.split(r"[-_:.]+", DIGITS.sub("", name)) if p]
+    found = set()
+    for i, part in enumerate(parts):
+        if part not in FURNITURE or (i and parts[i - 1] in BESIDE):
+            continue
+        if part == "related" and i + 1 < len(parts) and parts[i + 1] not in LISTED | FURNITURE:
+            continue
+        near = parts[:i] if part == "header" else parts[i + 1 :]
+        if part in WEAK and CONTENT.intersection(near):
+            continue
+        found.add(part)
+    return found
+
+
+MARKS = Cache(marks, 20_000)
+
+
+def attributes(text: str) -> tuple[tuple[str, ...], set[str]]:
+    """Generalised classes, and the furniture words and roles of class, id and role."""
     classes: tuple[str, ...] = ()
-    furniture = False
+    furniture: set[str] = set()
     for name, *values in ATTRIBUTE.findall(text):
         value = next((v for v in values if v), "").lower()
         if name.lower() == "role":
-            furniture |= value.strip() in LEFT_OUT_ROLES
+            furniture |= LEFT_OUT_ROLES & {value.strip()}
             continue
         if name.lower() == "class":
             classes = tuple(sorted({DIGITS.sub("#", c) for c in value.split()}))
         for one in value.split():
-            parts = set(re.split(r"[-_#:.]+", DIGITS.sub("#", one)))
-            furniture |= bool(parts & FURNITURE) and not parts & CONTENT
+            furniture |= MARKS[one]
     return classes, furniture
 
 
@@ -95,6 +125,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[str, tuple[int, ...], bool]]
     containers, blocks, stack = [root], [], [root]
     run: list[str] = []
     links = linked = 0
+    muted, nested = "", 0  # an inline element or heading that is furniture; it ends with its tag or the next block
 
     def close() -> None:
         nonlocal linked
@@ -110,7 +141,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[str, tuple[int, ...], bool]]
 
     at = 0
     for m in MARKUP.finditer(page):
-        if m.start() > at and not stack[-1].skip:
+        if m.start() > at and not stack[-1].skip and not muted:
             piece = page[at : m.start()]
             run.append(piece)
             linked += len(piece) if links else 0
@@ -123,6 +154,13 @@ def read(page: str) -> tuple[list[Node], list[tuple[str, tuple[int, ...], bool]]
             run.append(" ")
         elif tag == "a":
             links = 0 if m["close"] else 1
+        if muted:
+            nested += (-1 if m["close"] else 1) if tag == muted else 0
+            if nested <= 0 or (tag in BLOCKS and tag != muted):
+                muted = ""
+        elif tag in INLINE and m["rest"] and not m["close"] and not any(n.tag == "pre" for n in stack):
+            if attributes(m["rest"])[1] & SMALL:
+                muted, nested = tag, 1
         if tag not in BLOCKS:
             continue
         close()
@@ -141,9 +179,11 @@ def read(page: str) -> tuple[list[Node], list[tuple[str, tuple[int, ...], bool]]
                 del stack[depth:]
         while stack[-1].tag == "p":  # any block ends a paragraph
             stack.pop()
-        classes, furniture = attributes(m["rest"]) if m["rest"] else ((), False)
+        classes, furniture = attributes(m["rest"]) if m["rest"] else ((), set())
         top = stack[-1]
-        skip = top.skip or tag in LEFT_OUT or (furniture and tag not in ("html", "body", "article", "main"))
+        if tag == "article" and not any(n.tag == "article" for n in stack):
+            furniture = furniture & SMALL  # the outermost article is content unless it is a comment or an advert
+        skip = top.skip or tag in LEFT_OUT or (bool(furniture) and tag not in ("html", "body", "main"))
         if tag in CONTAINERS and not skip:
             path = f"{top.path}/{'.'.join((tag, *classes))}"
             up = next(n.order for n in reversed(stack) if n.order >= 0)
@@ -152,7 +192,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[str, tuple[int, ...], bool]]
         else:
             node = Node(tag, top.path, skip, -1, top.depth)
         stack.append(node)
-    if at < len(page) and not stack[-1].skip:
+    if at < len(page) and not stack[-1].skip and not muted:
         run.append(page[at:])
     close()
     return containers, blocks

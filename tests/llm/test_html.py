@@ -85,3 +85,54 @@ def test_query_against_article(spark):
         parts = (" ".join(entities.unescape(re.sub("<[^>]*>", "", p)).split()) for p in re.split("</?(?:p|h1)>", article))
         want = "\n".join(p for p in parts if p)
         assert (r.text, r.n_chars) == (want, len(want))
+
+
+STORY = "<p>" + "The article goes on in plain running text. " * 12 + "</p>"
+KEPT = " ".join(("The article goes on in plain running text. " * 12).split())
+
+
+@pytest.mark.parametrize("piece", [
+    '<div class="comment-body"><p>Reader words.</p></div>', '<div class="article-footer"><p>Footer words.</p></div>',
+    '<div class="story-ad">Buy this.</div>', '<div class="main-sidebar"><p>Side words.</p></div>',
+    '<div id="cookie-text"><p>We use cookies.</p></div>', '<section class="post-comments"><p>Great!</p></section>',
+    '<article class="comment"><p>A reader says so.</p></article>', '<span class="ad">Buy now</span>',
+    '<h3 class="related">More like this</h3>', '<div class="related-posts"><p>Other posts.</p></div>',
+    '<p class="newsletter-signup">Subscribe to us.</p>', '<ul class="share-buttons"><li>Share</ul>',
+])
+def test_furniture_inside_the_article_goes(piece):
+    for page in (f"<article>{STORY}{piece}{STORY}</article>", f'<div class="content">{STORY}{piece}{STORY}</div>'):
+        assert of(page) == f"{KEPT}\n{KEPT}"
+
+
+@pytest.mark.parametrize("piece,text", [
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>", "Let x=2 hold."),
+    ('<section id="related-work"><h2>Related work</h2><p>Others did so.</p></section>', "Related work\nOthers did so."),
+    ('<div class="content-with-sidebar"><p>Inner text.</p></div>', "Inner text."),
+    ('<div class="entry-header"><h1>The title</h1></div>', "The title"), ('<h2 class="section-header">Part</h2>', "Part"),
+    ('<div class="elementor-widget-text"><p>Built text.</p></div>', "Built text."),
+    ('<pre><span class="comment"># code</span> x = 1</pre>', "# code x = 1"),
+    ('<p>An <em class="has-ads">odd</em> word</p>', "An odd word"), ('<span class="ad">Buy<p>Text after an open advert.</p>', "Text after an open advert."),
+])
+def test_article_parts_that_look_like_furniture_stay(piece, text):
+    assert of(f"<article>{STORY}{piece}{STORY}</article>") == f"{KEPT}\n{text}\n{KEPT}"
+
+
+TEMPLATES = {
+    "a.org": '<div class="top-nav">Menu</div><div class="post n{i}"><h1>T{i}</h1>{text}<div class="post-comments">C</div></div>',
+    "b.org": '<table><tr><td class="menu"><a href=x>Home</a></td><td class="text"><h1>T{i}</h1>{text}</td></tr></table>',
+    "c.org": '<div id="wrap"><div class="col-8"><h2>T{i}</h2>{text}</div><div class="col-4 sidebar"><p>Side side side.</p></div></div>',
+    "d.org": '<main class="page"><h1>T{i}</h1>{text}</main><div class="footer">Imprint</div>',
+    "e.org": '<section class="story-{i}"><div class="story-ad">Buy</div><h1>T{i}</h1>{text}</section><div class="newsletter">Join</div>',
+}
+
+
+def test_templates_without_article_elements(spark):
+    rows, want = [], {}
+    for h, (host, page) in enumerate(TEMPLATES.items()):
+        for i in range(6):
+            words = [f"Paragraph {k} of page {i} tells some more of it." for k in range(3 + i)]
+            key = 100 * h + i
+            rows.append((key, f"https://{host}/{i}", page.replace("{i}", str(i)).replace("{text}", "".join(f"<p>{w}</p>" for w in words))))
+            want[key] = "\n".join([f"T{i}", *words])
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html.main_text(df).collect()} == want
