@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableloom.functions.columns import CATEGORICAL, NUMERIC, choose_columns, free_name, number, present, q
+from tableloom.functions.columns import CATEGORICAL, NUMERIC, choose_columns, number, present, q
 from tableloom.functions.keyed import first_by, top_k
 from tableloom.functions.knn import BLOCK_ROWS, cogroup_blocks, whole_units
 from tableloom.functions.stats import most_frequent, null_counts, numeric_stats, quantiles
@@ -276,7 +276,3 @@ class OutlierTreatmentModel(FittedStep):
             c: F.when(number(df, c).isNotNull(), F.least(F.greatest(number(df, c), F.lit(low)), F.lit(high)))
             for c, (low, high) in bounds.items()
         })
-
-
-def working_key(df: DataFrame) -> str:
-    return free_name(df, "key")
