@@ -567,9 +567,9 @@ CHECKS = {
     "m8_first_split": (first_split(max_depth=1, l1=100.0, l2=50.0), first_split_sql(100.0, 50.0)),
     "m9_first_split": (first_split(growth="leaf", max_leaves=2, min_rows=500), first_split_sql(least=500)),
     "m10_first_split": (first_split(growth="oblivious", max_depth=1, l2=3.0), first_split_sql(l2=3.0)),
-    "m8_boosting_xgboost_profile": (regressed("xgboost", {"max_depth": 4, "colsample_bytree": 0.7}), None),
-    "m9_boosting_lightgbm_profile": (regressed("lightgbm", {"num_leaves": 15}), None),
-    "m10_boosting_catboost_profile": (regressed("catboost", {"depth": 4}), None),
+    "m8_boosting_xgboost_profile": (regressed("xgboost", {"max_depth": 4, "colsample_bytree": 0.7, "n_estimators": 30}), None),
+    "m9_boosting_lightgbm_profile": (regressed("lightgbm", {"num_leaves": 15, "n_estimators": 30}), None),
+    "m10_boosting_catboost_profile": (regressed("catboost", {"depth": 4, "n_estimators": 30}), None),
     "m11_neighbour_vote": (m11("classification"), M11_VOTE),
     "m11_neighbour_mean_by_distance": (m11("regression", weights="distance"), M11_MEAN),
     "m12_k_neighbours": (m12("euclidean"), m12_sql(EUCLID)),
