@@ -225,7 +225,7 @@ def commonest(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {bytes(r["token"]): r["c"] for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["token"])))}
 
 
-def triple_blocks(rows: DataFrame, classes: Classes, block_triples: int = 250_000, limit: int = 1_000_000) -> DataFrame:
+def triple_blocks(rows: DataFrame, classes: Classes, block_triples: int = 250_000, limit: int = 500_000) -> DataFrame:
     """(block, context, word, n): the counted class triples of training rows, a packed row per block, in order.
 
     A context belongs to one block, by its hash; blocks are as many as the number of triples asks for.
@@ -233,28 +233,24 @@ def triple_blocks(rows: DataFrame, classes: Classes, block_triples: int = 250_00
     k = classes.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = Cache(classes.of, 200_000), [], 0
+        known, held, size = Cache(classes.of, 100_000), [], 0
 
         def flush() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys // k), pa.array(keys % k), pa.array(n, pa.int64())], names=["context", "word", "n"])
 
         for batch in batches:
-            words: list[bytes] = []
-            lengths: list[int] = []
-            for t, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if t:
-                    own = tokens(value)
-                    words += own
-                    lengths.append(len(own))
-            if words:
+            for i in range(batch.num_rows):
+                if not batch.column(1)[i].as_py():
+                    continue
+                words = tokens(batch.column(2)[i].as_py())
                 word = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                before = contexts(word, lengths, k).astype(np.int64)
+                before = contexts(word, [len(words)], k).astype(np.int64)
                 held.append((before[:, 0] * (k + 1) + before[:, 1]) * k + word)
                 size += len(word)
-            if size >= limit:
-                yield flush()
-                held, size = [], 0
+                if size >= limit:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
